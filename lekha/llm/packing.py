@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import os
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -52,6 +51,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
 
@@ -80,9 +82,16 @@ class Encoder:
             self.words.clear()
         parts = {x: _WORD.findall(x) for x in new}
         unknown = list({w for ws in parts.values() for w in ws} - self.words.keys())
-        for e, w in zip(self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), unknown, strict=True):
-            ids = e.ids
-            self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for at in range(0, len(unknown), 10_000):  # many words at once; each ends with the one id that ends it
+            some = unknown[at : at + 10_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer has ids that do not end words as expected")
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(some, ends.tolist(), strict=True):
+                self.words[w] = raw[begin:end]
+                begin = end
         get = self.words.__getitem__
         for x, ws in parts.items():
             self.stretches[x] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
