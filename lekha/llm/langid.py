@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,5 +159,17 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, coverage double")
 
 
+def known(docs: DataFrame, model: Filter, least: float = 0.2) -> DataFrame:
+    """The rows of docs, all columns kept, whose text has a letter and a language with at least that coverage."""
+
+    def run(batches):
+        for batch in batches:
+            text = pc.fill_null(batch.column("text"), "")
+            _, _, coverage = model.decide(*model.counts(*text_bytes(pc.utf8_lower(text))))
+            yield batch.filter(pc.and_(pc.match_substring_regex(text, r"\p{L}"), pa.array(coverage >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 0):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts == part
