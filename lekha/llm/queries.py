@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekha.llm import exact_dedup, langid, ngram_join, packing, pii, topk, toxicity, warc
+from lekha.llm import exact_dedup, langid, ngram_join, packing, pii, sentencepiece_scan, substring_dedup, topk, toxicity, warc
 from lekha.plans.shared import new_path, table
 
 
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_warc(spark, path))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.summary(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.ngram_join(table(spark, sf_dir, "documents"), words=3, percent=90)
     return out.select("doc_id", "n_shingles", "component_id", "class_id", "links")
@@ -47,13 +51,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_bytes")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    "op1_warc": op1_warc, "op3_ngram_join": op3_ngram_join, "op4_topk": op4_topk, "op5_langid": op5_langid,
-    "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op10_pii": op10_pii,
+    "op1_warc": op1_warc, "op2_sentencepiece": op2_sentencepiece, "op3_ngram_join": op3_ngram_join, "op4_topk": op4_topk, "op5_langid": op5_langid,
+    "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op8_exact_dedup": op8_exact_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_pii": op10_pii,
 }
 
 SQL = {
