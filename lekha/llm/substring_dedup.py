@@ -298,11 +298,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-total // (26 * BUCKET)))
     index = rows.mapInArrow(_index(buckets), "bucket bigint, blob binary, doc_id bigint, places array<bigint>")
     places = index.groupBy("bucket").applyInArrow(_repeated, "doc_id bigint, places array<bigint>")
-    places = places.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")).join(copies, "doc_id", "left_anti")
-    chosen = written(rows.join(places, "doc_id"), "chosen")
+    places = places.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    chosen = written(rows.join(copies, "doc_id", "left_anti").join(places, "doc_id"), "chosen")
     n = chosen.agg(F.sum(F.size("places"))).first()[0] or 0
     contexts = chosen.mapInArrow(_contexts, "doc_id bigint, place bigint, near bigint, far bigint, key bigint, bytes binary, bits bigint")
-    part = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // PART))))
+    part = F.pmod(F.xxhash64(F.when(F.col("bytes").isNull(), F.col("doc_id")).otherwise(F.col("key"))), F.lit(max(1, -(-n // PART))))
     marks = contexts.withColumn("part", part).groupBy("part").applyInArrow(_mark, "doc_id bigint, place bigint, bits bigint")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
     gone = chosen.select("doc_id", "text").join(marks, "doc_id").mapInArrow(_removed, "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
