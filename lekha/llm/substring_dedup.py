@@ -160,11 +160,10 @@ def _repeated(table: pa.Table) -> pa.Table:
     key, doc, place, mark = (np.concatenate(x) for x in (keys, docs, places, marks))
     _, number, n = np.unique(key, return_inverse=True, return_counts=True)
     hit = np.flatnonzero((n[number] > 1) | mark) if len(key) else np.zeros(0, np.int64)
-    hit = hit[np.argsort(doc[hit], kind="stable")]
-    d, first = np.unique(doc[hit], return_index=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(hit)).astype(np.int32)), pa.array(place[hit]))
-    found = pa.table({"doc_id": pa.array(d), "places": lists})
-    return pa.concat_tables([found, given.cast(found.schema)])
+    old = given.column("places").combine_chunks()
+    old_doc = given.column("doc_id").combine_chunks().take(pc.list_parent_indices(old)).to_numpy() if given.num_rows else np.zeros(0, np.int64)
+    old_place = pc.list_flatten(old).to_numpy() if given.num_rows else np.zeros(0, np.int64)
+    return pa.table({"doc_id": pa.array(np.concatenate([doc[hit], old_doc])), "place": pa.array(np.concatenate([place[hit], old_place]))})
 
 
 def _contexts(batches):
@@ -297,8 +296,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // (26 * BUCKET)))
     index = rows.mapInArrow(_index(buckets), "bucket bigint, blob binary, doc_id bigint, places array<bigint>")
-    places = index.groupBy("bucket").applyInArrow(_repeated, "doc_id bigint, places array<bigint>")
-    places = places.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    places = index.groupBy("bucket").applyInArrow(_repeated, "doc_id bigint, place bigint")
+    places = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     chosen = written(rows.join(copies, "doc_id", "left_anti").join(places, "doc_id"), "chosen")
     n = chosen.agg(F.sum(F.size("places"))).first()[0] or 0
     contexts = chosen.mapInArrow(_contexts, "doc_id bigint, place bigint, near bigint, far bigint, key bigint, bytes binary, bits bigint")
