@@ -107,9 +107,15 @@ class Encoder:
         return [self._whole(t) if segments is None else b"".join([x for s in segments for x in map(get, s)]) for t, segments in zip(texts, plain, strict=True)]
 
 
+#: A worker's encoders by path: what they remember serves its later tasks too.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def _pieces(path: str, capacity: int):
     def run(batches):
-        encoder = Encoder(path)
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        encoder = _ENCODERS[path]
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
