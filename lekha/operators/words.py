@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekha.functions import text as t
@@ -64,3 +64,41 @@ def unknown_words(docs: DataFrame, trusted: DataFrame, profile: str) -> DataFram
     """(word, n, n_docs) of the words of docs that trusted (word) lacks; words are looked up once each."""
     counts = occurrences(docs, profile).groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
     return counts.join(trusted, "word", "left_anti")
+
+
+def suggestions(unknown: DataFrame, counts: DataFrame, most: int = 8) -> DataFrame:
+    """(word, rank, suggestion, distance): the nearest words of counts (word, n), then the more frequent, then by word.
+
+    The bound on edits grows with the word's length; words of each bound are
+    joined with it alone. A word without a near one has no row.
+    """
+    words = unknown.select("word").distinct().withColumn("bound", t.spell_bound(F.length("word")))
+    near = None
+    for bound in [r.bound for r in words.select("bound").distinct().collect()]:  # at most nine
+        found = near_words(words.where(F.col("bound") == bound).select("word"), counts.select("word"), bound)
+        near = found if near is None else near.union(found)
+    if near is None:
+        near = near_words(words.select("word"), counts.select("word"), 1)
+    ranked = near.join(counts.select(F.col("word").alias("b"), "n"), "b")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", F.desc("n"), "b"))
+    return ranked.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("a").alias("word"), F.col("rank").cast("bigint").alias("rank"), F.col("b").alias("suggestion"), F.col("distance").cast("bigint").alias("distance"))
+
+
+def replaced_words(docs: DataFrame, mapping: DataFrame, profile: str) -> DataFrame:
+    """(doc_id, text, n_replaced) of the documents with words (whole runs) that mapping (word, canonical) rewrites.
+
+    Pieces meet the mapping in a join and are put together by place, so neither
+    the mapping nor a document's number of hits is bounded. doc_id is unique.
+    """
+    run = t.PROFILES[profile][0]
+    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"{run}|{run.replace('[', '[^', 1)}"), F.lit(0))).alias("pos", "word"))
+    rows = pieces.join(mapping, "word", "left").groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "word").alias("piece")))).alias("pieces"), F.count("canonical").alias("n_replaced"))
+    return rows.where("n_replaced > 0").select("doc_id", F.array_join(F.col("pieces.piece"), "").alias("text"), "n_replaced")
+
+
+def canonical_forms(counts: DataFrame, profile: str) -> DataFrame:
+    """(word, canonical): each word whose skeleton a more frequent (then smaller) word shares, and that word."""
+    rows = counts.select("word", "n", t.skeleton(F.col("word"), profile).alias("skeleton")).where("skeleton <> ''")
+    best = rows.groupBy("skeleton").agg(F.min_by("word", F.struct(-F.col("n"), "word")).alias("canonical"))
+    return rows.join(best, "skeleton").where("word <> canonical").select("word", "canonical")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from lekha.functions import text as t
 from lekha.operators.fuzzy import near_words
 from lekha.operators.graph import connected_components
-from lekha.plans import registry
+from lekha.operators import lint
+from lekha.operators import words as w
+from lekha.plans import publishing, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,13 +75,35 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
+@pytest.mark.parametrize("name", sorted({**registry.SQL, **publishing.SQL}))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "labels", "conversations", "benchmark"):
+    for table in ("documents", "labels", "conversations", "benchmark", "events"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
-    df = registry.QUERIES[name](spark, SF)
+    df = {**registry.QUERIES, **publishing.QUERIES}[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted([tuple(r) for r in df.select(columns).collect()], key=repr)
-    want = con.sql(f"select {', '.join(columns)} from ({registry.SQL[name]})").fetchall()
+    want = con.sql(f"select {', '.join(columns)} from ({ {**registry.SQL, **publishing.SQL}[name] })").fetchall()
     assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize(("text", "rule", "want"), [
+    ("कछ हम", "kachh_hum", "कछु हम"), ("भय  भी नाई", "bhay_nai", "भय भी नहीं"), ("'x\"", "mismatched_quotes", "'x'"), ("\"x'", "mismatched_quotes", "'x'"), ("शुम दिन", "shum_din", "शुभ दिन")])
+def test_typos(spark, text, rule, want):
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    assert [tuple(r) for r in lint.issues(docs, lint.TYPOS).collect()] == [(1, rule, 1, True)]
+    assert [tuple(r) for r in lint.fixed(docs, lint.TYPOS).collect()] == [(1, want)]
+
+
+def test_suggestions_equal_brute_force(spark):
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("ab") for _ in range(r.randint(1, 12))) for _ in range(90)})
+    known, unknown = {x: i % 3 + 1 for i, x in enumerate(words[::2])}, words[1::2]
+    got = w.suggestions(spark.createDataFrame([(x,) for x in unknown], "word string"), spark.createDataFrame(list(known.items()), "word string, n long"))
+    bound = lambda n: 1 if n <= 3 else 2 if n <= 6 else max(2, int(n * 0.32))
+    want = set()
+    for a in unknown:
+        near = sorted((d, -known[b], b) for b in known if (d := distance(a, b)) <= bound(len(a)))[:8]
+        want |= {(a, i + 1, b, d) for i, (d, _, b) in enumerate(near)}
+    assert {tuple(x) for x in got.collect()} == want
+    assert w.suggestions(spark.createDataFrame([], "word string"), spark.createDataFrame([], "word string, n long")).count() == 0
