@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lekha.functions import text as t
 from lekha.operators.fuzzy import near_words
 from lekha.operators.graph import connected_components
+from lekha.plans.shared import written
 
 
 def occurrences(docs: DataFrame, profile: str) -> DataFrame:
@@ -72,7 +73,8 @@ def suggestions(unknown: DataFrame, counts: DataFrame, most: int = 8) -> DataFra
     The bound on edits grows with the word's length; words of each bound are
     joined with it alone. A word without a near one has no row.
     """
-    words = unknown.select("word").distinct().withColumn("bound", t.spell_bound(F.length("word")))
+    words = written(unknown.select("word").distinct().withColumn("bound", t.spell_bound(F.length("word"))), "unknown")
+    counts = written(counts.select("word", "n"), "known")
     near = None
     for bound in [r.bound for r in words.select("bound").distinct().collect()]:  # at most nine
         found = near_words(words.where(F.col("bound") == bound).select("word"), counts.select("word"), bound)

@@ -13,7 +13,7 @@ from lekha.plans.shared import table
 
 #: section_pos, section, sort, excluded, grouped.
 SECTIONS = ((0, "en", "file", False, False), (1, "de", "title", False, True), (2, "fr", "title", True, False), (3, "es", "title", False, True))
-RULES = (lint.Rule("double_blank", " {2,}", ((" {2,}", " "),)), lint.Rule("doubled_mark", "[.]{2,}|,{2,}", (("[.]{2,}", "."), (",{2,}", ","))), lint.Rule("blank_before_mark", " [,.]", ((" ([,.])", "$1"),)))
+RULES = (lint.Rule("doubled_word", "the the", (("the the", "the"),)), lint.Rule("doubled_mark", "[!?]{2,}", (("[!?]{2,}", "!"),)), lint.Rule("odd_sign", "[$%#@|]+", (("[$%#@|]+", ""),)))
 KNOWN = ["ref"]
 
 
@@ -85,9 +85,9 @@ _D = f"""s(section_pos, section, sort, excluded, grouped) AS (VALUES {', '.join(
     d AS (SELECT doc_id, lang AS section, source AS group_name, coalesce(string_split(text, chr(10))[1], '') AS title FROM documents)"""
 _ORDER = f"WITH {_D}, o AS (SELECT section, doc_id, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN sort = 'file' THEN '' ELSE title END, doc_id) AS number FROM d JOIN s USING (section))"
 _LINT = r"""SELECT * FROM (
-    SELECT doc_id, 'double_blank' AS rule_id, len(regexp_extract_all(text, ' {2,}')) AS n_hits, regexp_replace(text, ' {2,}', ' ', 'g') <> text AS auto_fixable FROM documents
-    UNION ALL SELECT doc_id, 'doubled_mark', len(regexp_extract_all(text, '[.]{2,}|,{2,}')), regexp_replace(regexp_replace(text, '[.]{2,}', '.', 'g'), ',{2,}', ',', 'g') <> text FROM documents
-    UNION ALL SELECT doc_id, 'blank_before_mark', len(regexp_extract_all(text, ' [,.]')), regexp_replace(text, ' ([,.])', '\1', 'g') <> text FROM documents) WHERE n_hits > 0"""
+    SELECT doc_id, 'doubled_word' AS rule_id, len(regexp_extract_all(text, 'the the')) AS n_hits, replace(text, 'the the', 'the') <> text AS auto_fixable FROM documents
+    UNION ALL SELECT doc_id, 'doubled_mark', len(regexp_extract_all(text, '[!?]{2,}')), regexp_replace(text, '[!?]{2,}', '!', 'g') <> text FROM documents
+    UNION ALL SELECT doc_id, 'odd_sign', len(regexp_extract_all(text, '[$%#@|]+')), regexp_replace(text, '[$%#@|]+', '', 'g') <> text FROM documents) WHERE n_hits > 0"""
 
 #: Suggestions compare all unknown words with all known ones: too slow in SQL; tested by brute force.
 SQL = {
@@ -98,7 +98,7 @@ SQL = {
     "groups_list": f"WITH {_D} SELECT DISTINCT section, group_name FROM d JOIN s USING (section) WHERE s.grouped AND group_name IS NOT NULL",
     "verse_numbers": "WITH f AS (SELECT *, coalesce(role = 'user' AND trim(text) <> '' AND NOT starts_with(trim(text), 'जबानी'), false) AS flag FROM conversations), n AS (SELECT *, CAST(sum(CAST(flag AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS number FROM f) SELECT conv_id, turn, number FROM n WHERE flag",
     "typo_lint": _LINT,
-    "typo_fix": r"SELECT doc_id, new AS text FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '[.]{2,}', '.', 'g'), ',{2,}', ',', 'g'), ' ([,.])', '\1', 'g') AS new FROM documents) WHERE new <> text",
+    "typo_fix": r"SELECT doc_id, new AS text FROM (SELECT doc_id, text, regexp_replace(regexp_replace(replace(text, 'the the', 'the'), '[!?]{2,}', '!', 'g'), '[$%#@|]+', '', 'g') AS new FROM documents) WHERE new <> text",
     "lint_summary": f"SELECT rule_id, count(*) AS n_docs, CAST(sum(n_hits) AS BIGINT) AS n_hits FROM ({_LINT}) GROUP BY rule_id",
     "unknown_keys": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) WHERE key NOT IN ('ref') GROUP BY key",
     "replace_words": f"""WITH {registry._TOKENS}, c AS (SELECT word, count(*) AS n, regexp_replace(word, '[aeiou]', '', 'g') AS skeleton FROM t WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 20),
