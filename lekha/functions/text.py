@@ -91,3 +91,52 @@ def occurrences(text: Column, find: str, ignore_case: bool = False) -> Column:
     """How often a literal occurs, without overlaps."""
     x, y = (F.lower(text), find.lower()) if ignore_case else (text, find)
     return ((F.length(x) - F.length(F.replace(x, F.lit(y), F.lit("")))) / len(y)).cast("bigint")
+
+
+def anchor_id(section: Column, title: Column, index: Column) -> Column:
+    """section-slug-NN; index counts from 0."""
+    return F.concat_ws("-", section, slug(title), F.format_string("%02d", index + 1))
+
+
+_BASENAME = r"(?i)^([0-9]+)-(.+)\.ya?ml$"
+
+
+def basename_parts(name: Column) -> Column:
+    """A struct of prefix and slug of NNN-slug.yaml; another name has no prefix and its own slug."""
+    fits = name.rlike(_BASENAME)
+    return F.struct(
+        F.when(fits, F.regexp_extract(name, _BASENAME, 1)).alias("prefix"),
+        F.when(fits, F.regexp_extract(name, _BASENAME, 2)).otherwise(slug(F.regexp_replace(name, r"(?i)\.ya?ml$", ""))).alias("slug"))
+
+
+def slug_differs(path: Column, title: Column) -> Column:
+    """Whether a title's slug is not the one in the file's name."""
+    name = F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
+    return slug(title) != basename_parts(name).slug
+
+
+# Shapes of verse numbers and markers at the end of a line.
+_DIGIT = "[०-९0-9]"
+_MARKER = r"(?:\s*(\|\|\s*[^|]+\s*\|\|)|(\s*॥+))\s*$"
+_TAIL = rf"(?:(?:\s*\|\|\s*[^|]+\s*\|\||\s*॥+{_DIGIT}+॥*|\s*।\s*{_DIGIT}+\s*।?|\s*[।॥]\s*{_DIGIT}+\s*(?:टेर|तेर)?\s*[।॥]?)\s*)+$"
+
+
+def without_verse_numbers(line: Column) -> Column:
+    """The line without verse numbers inside it and at its end, blanks collapsed."""
+    for pattern in (rf"[।॥]+\s*{_DIGIT}+\s*[।॥]*", rf"!+{_DIGIT}+!+", rf"\|\|\s*{_DIGIT}+\s*\|\|", _TAIL):
+        line = F.regexp_replace(line, pattern, "")
+    return F.trim(F.regexp_replace(line, r"\s{2,}", " "))
+
+
+def end_marker(line: Column) -> Column:
+    """A struct of body and marker: the refrain's word, 'numbered', the double mark, or null."""
+    inner = F.trim(F.replace(F.regexp_extract(line, _MARKER, 1), F.lit("||"), F.lit("")))
+    marker = F.when(inner.rlike("^(टेर|तेर)$"), "टेर").when(inner.rlike(f"^{_DIGIT}+$"), "numbered").when(F.regexp_extract(line, _MARKER, 2) != "", "॥")
+    return F.struct(F.when(marker.isNull(), F.trim(line)).otherwise(F.trim(F.regexp_replace(line, _MARKER, ""))).alias("body"), marker.alias("marker"))
+
+
+def without_refrain_shorthand(line: Column) -> Column:
+    """The line without a repeat that ellipses cut short."""
+    x = F.trim(line)
+    main = F.regexp_extract(x, r"^(.+?॥)\s+.+?\.\.\.\s*$", 1)
+    return F.when(~x.contains("..."), x).when(main != "", F.trim(main)).otherwise(F.trim(F.regexp_replace(x, r"\s+.+?\.\.\.\s*$", "")))

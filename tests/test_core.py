@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lekha.functions import text as t
 from lekha.operators.fuzzy import near_words
 from lekha.operators.graph import connected_components
-from lekha.operators import lint
+from lekha.operators import lint, passages
 from lekha.operators import words as w
-from lekha.plans import publishing, registry
+from lekha.plans import publishing, reading, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,15 +75,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted({**registry.SQL, **publishing.SQL}))
+@pytest.mark.parametrize("name", sorted({**registry.SQL, **publishing.SQL, **reading.SQL}))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "labels", "conversations", "benchmark", "events"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
-    df = {**registry.QUERIES, **publishing.QUERIES}[name](spark, SF)
+    df = {**registry.QUERIES, **publishing.QUERIES, **reading.QUERIES}[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted([tuple(r) for r in df.select(columns).collect()], key=repr)
-    want = con.sql(f"select {', '.join(columns)} from ({ {**registry.SQL, **publishing.SQL}[name] })").fetchall()
+    want = con.sql(f"select {', '.join(columns)} from ({ {**registry.SQL, **publishing.SQL, **reading.SQL}[name] })").fetchall()
     assert got == sorted(want, key=repr)
 
 
@@ -107,3 +107,24 @@ def test_suggestions_equal_brute_force(spark):
         want |= {(a, i + 1, b, d) for i, (d, _, b) in enumerate(near)}
     assert {tuple(x) for x in got.collect()} == want
     assert w.suggestions(spark.createDataFrame([], "word string"), spark.createDataFrame([], "word string, n long")).count() == 0
+
+
+def test_passages(spark):
+    docs = spark.createDataFrame([(1, "१२राम। हरि, ह"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in passages.token_offsets(docs, "devanagari").collect()) == [(1, "राम", 0, 6), (1, "हरि", 7, 10)]
+    docs = spark.createDataFrame([(1, "aa" * 4), (2, None), (3, ""), (4, "x" * 50 + "$1" + "y" * 50)], "doc_id long, text string")
+    assert [tuple(r) for r in passages.context_snippets(docs, "aa", radius=1).collect()] == [(1, 1, "aaa…"), (1, 2, "…aaaa…"), (1, 3, "…aaaa…")]
+    assert [tuple(r) for r in passages.context_snippets(docs, "$1").collect()] == [(4, 1, "…" + "x" * 40 + "$1" + "y" * 40 + "…")]
+    texts = spark.createDataFrame([(1, " a\nb \n \n[Commentary]\nc\n\n\n[commentary]"), (2, None), (3, " ")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in passages.paragraphs(texts, "doc_id").collect()) == [(1, 0, "antara", "a\nb"), (1, 1, "commentary", "c"), (1, 2, "commentary", "")]
+
+
+@pytest.mark.parametrize(("f", "value", "want"), [
+    (t.without_verse_numbers, "राम आए ॥१॥", "राम आए"), (t.without_verse_numbers, "राम आए || टेर ||", "राम आए"), (t.without_verse_numbers, "राम !!२!! आए", "राम आए"), (t.without_verse_numbers, "राम आए॥", "राम आए॥"), (t.without_verse_numbers, None, None),
+    (t.end_marker, "राम || टेर ||", ("राम", "टेर")), (t.end_marker, "राम || १ ||", ("राम", "numbered")), (t.end_marker, "राम॥", ("राम", "॥")), (t.end_marker, " राम ", ("राम", None)),
+    (t.without_refrain_shorthand, "भरपूर॥ पूर है...", "भरपूर॥"), (t.without_refrain_shorthand, "राम आए हरि...", "राम"), (t.without_refrain_shorthand, "राम आए", "राम आए"),
+    (t.basename_parts, "008-राम-गान.yaml", ("008", "राम-गान")), (t.basename_parts, "राम गान.yml", (None, "राम-गान")), (lambda c: t.slug_differs(c, F.lit("राम गान")), "a/b/001-राम-गान.yaml", False), (lambda c: t.slug_differs(c, F.lit("हरि")), "a/001-राम.yaml", True),
+    (lambda c: t.anchor_id(F.lit("en"), c, F.lit(6)), "राम गान", "en-राम-गान-07")])
+def test_lines_and_names(spark, f, value, want):
+    got = one(spark, value, f)
+    assert (tuple(got) if isinstance(want, tuple) else got) == want
