@@ -129,10 +129,13 @@ def without_verse_numbers(line: Column) -> Column:
 
 
 def end_marker(line: Column) -> Column:
-    """A struct of body and marker: the refrain's word, 'numbered', the double mark, or null."""
+    """A struct of body and marker: the refrain's word, 'numbered', the double mark, what else stands between bars, or null."""
     inner = F.trim(F.replace(F.regexp_extract(line, _MARKER, 1), F.lit("||"), F.lit("")))
-    marker = F.when(inner.rlike("^(टेर|तेर)$"), "टेर").when(inner.rlike(f"^{_DIGIT}+$"), "numbered").when(F.regexp_extract(line, _MARKER, 2) != "", "॥")
-    return F.struct(F.when(marker.isNull(), F.trim(line)).otherwise(F.trim(F.regexp_replace(line, _MARKER, ""))).alias("body"), marker.alias("marker"))
+    marker = (
+        F.when(inner.rlike("^(टेर|तेर)$"), "टेर").when(inner.rlike(f"^{_DIGIT}+$"), "numbered")
+        .when(F.regexp_extract(line, _MARKER, 2) != "", "॥").when(inner != "", inner)
+    )
+    return F.struct(F.trim(F.regexp_replace(line, _MARKER, "")).alias("body"), marker.alias("marker"))
 
 
 def without_refrain_shorthand(line: Column) -> Column:

@@ -16,6 +16,12 @@ def cross_listings(docs: DataFrame, sections: DataFrame, also: str = "also_in")
     return own.unionByName(other.select("section", "doc_id", F.lit(True).alias("is_cross_listed")))
 
 
+def invalid_listings(docs: DataFrame, sections: DataFrame, also: str = "also_in") -> DataFrame:
+    """(section, doc_id) of the sections that documents name and that do not exist; a null list names none."""
+    named = docs.select(F.explode(F.array_distinct(also)).alias("section"), "doc_id")
+    return named.join(F.broadcast(sections.select("section")), "section", "left_anti").select("section", "doc_id")
+
+
 def listing_counts(listings: DataFrame, sections: DataFrame) -> DataFrame:
     """(section, n), 0 for a section without listings."""
     n = listings.groupBy("section").agg(F.count("*").alias("n"))

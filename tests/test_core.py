@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from lekha.functions import text as t
 from lekha.operators.fuzzy import near_words
 from lekha.operators.graph import connected_components
-from lekha.operators import lint, passages
+from lekha.operators import documents, lint, passages
 from lekha.operators import words as w
 from lekha.plans import publishing, reading, registry
+from lekha.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,10 +122,28 @@ def test_passages(spark):
 
 @pytest.mark.parametrize(("f", "value", "want"), [
     (t.without_verse_numbers, "राम आए ॥१॥", "राम आए"), (t.without_verse_numbers, "राम आए || टेर ||", "राम आए"), (t.without_verse_numbers, "राम !!२!! आए", "राम आए"), (t.without_verse_numbers, "राम आए॥", "राम आए॥"), (t.without_verse_numbers, None, None),
-    (t.end_marker, "राम || टेर ||", ("राम", "टेर")), (t.end_marker, "राम || १ ||", ("राम", "numbered")), (t.end_marker, "राम॥", ("राम", "॥")), (t.end_marker, " राम ", ("राम", None)),
+    (t.end_marker, "राम || टेर ||", ("राम", "टेर")), (t.end_marker, "राम || १ ||", ("राम", "numbered")), (t.end_marker, "राम॥", ("राम", "॥")), (t.end_marker, " राम ", ("राम", None)), (t.end_marker, "राम || दो ||", ("राम", "दो")),
     (t.without_refrain_shorthand, "भरपूर॥ पूर है...", "भरपूर॥"), (t.without_refrain_shorthand, "राम आए हरि...", "राम"), (t.without_refrain_shorthand, "राम आए", "राम आए"),
     (t.basename_parts, "008-राम-गान.yaml", ("008", "राम-गान")), (t.basename_parts, "राम गान.yml", (None, "राम-गान")), (lambda c: t.slug_differs(c, F.lit("राम गान")), "a/b/001-राम-गान.yaml", False), (lambda c: t.slug_differs(c, F.lit("हरि")), "a/001-राम.yaml", True),
     (lambda c: t.anchor_id(F.lit("en"), c, F.lit(6)), "राम गान", "en-राम-गान-07")])
 def test_lines_and_names(spark, f, value, want):
     got = one(spark, value, f)
     assert (tuple(got) if isinstance(want, tuple) else got) == want
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "list.dic").write_text("3\r\nराम/A\r\nहरि\n\n राम \n", encoding="utf-8")
+    words = files.read_wordlist(spark, str(tmp_path / "list.dic"))
+    assert sorted(r.word for r in words.collect()) == ["राम", "हरि"]
+    files.write_wordlist(words, str(tmp_path / "out"))
+    lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text(encoding="utf-8").splitlines()]
+    assert lines == ["2", "राम", "हरि"]
+    assert sorted(r.word for r in files.read_wordlist(spark, str(tmp_path / "out")).collect()) == ["राम", "हरि"]
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.yaml").write_bytes("\ufefftitle: x\r\ny\n".encode())
+    assert [(r.path.rsplit("/", 1)[-1], r.text) for r in files.read_documents(spark, str(tmp_path / "docs")).collect()] == [("a.yaml", "title: x\ny\n")]
+
+
+def test_invalid_listings(spark):
+    docs = spark.createDataFrame([(1, ["en", "zz", "zz"]), (2, None), (3, [])], "doc_id long, also_in array<string>")
+    assert [tuple(r) for r in documents.invalid_listings(docs, spark.createDataFrame([("en",)], "section string")).collect()] == [("zz", 1)]
