@@ -72,6 +72,11 @@ def replace_words(spark, sf):
     return w.replaced_words(docs, w.canonical_forms(counts, PROFILE), PROFILE)
 
 
+def replace_words_whole(spark, sf):
+    docs = table(spark, sf, "documents")
+    return w.replaced_words(docs, w.canonical_forms(registry.whole_counts(docs), PROFILE), PROFILE)
+
+
 def suggest(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1").select("doc_id")
     counts = w.word_counts(docs.join(labels, "doc_id", "left_semi"), PROFILE)
@@ -79,7 +84,7 @@ def suggest(spark, sf):
     return w.suggestions(unknown, counts)
 
 
-QUERIES = {f.__name__: f for f in (display_order, prev_next, master_index, unique_doc_count, groups_list, verse_numbers, typo_lint, typo_fix, lint_summary, unknown_keys, replace_words, suggest)}
+QUERIES = {f.__name__: f for f in (display_order, prev_next, master_index, unique_doc_count, groups_list, verse_numbers, typo_lint, typo_fix, lint_summary, unknown_keys, replace_words, replace_words_whole, suggest)}
 
 _D = f"""s(section_pos, section, sort, excluded, grouped) AS (VALUES {', '.join(map(str, SECTIONS))}),
     d AS (SELECT doc_id, lang AS section, source AS group_name, coalesce(string_split(text, chr(10))[1], '') AS title FROM documents)"""

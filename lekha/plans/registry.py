@@ -72,6 +72,19 @@ def variant_clusters(spark, sf):
     return w.variant_clusters(counts, PROFILE)
 
 
+def whole_counts(docs: DataFrame) -> DataFrame:
+    """The words that the reference scans: of two letters or more, seen at least twice."""
+    return w.word_counts(docs, PROFILE, 2)
+
+
+def variant_pairs_whole(spark, sf):
+    return w.variant_pairs(whole_counts(_docs(spark, sf)).select("word")).withColumn("distance", F.col("distance").cast("bigint"))
+
+
+def variant_clusters_whole(spark, sf):
+    return w.variant_clusters(whole_counts(_docs(spark, sf)), PROFILE)
+
+
 def cross_list(spark, sf):
     return d.cross_listings(_also(_docs(spark, sf)), sections(spark))
 
@@ -114,9 +127,9 @@ def search(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    word_counts, corpus_dictionary, vocab_by_section, subset_vocab, merge_lexicons, lexicon_diff, oov_tokens, variant_pairs, variant_clusters,
+    word_counts, corpus_dictionary, vocab_by_section, subset_vocab, merge_lexicons, lexicon_diff, oov_tokens, variant_pairs, variant_clusters, variant_pairs_whole, variant_clusters_whole,
     cross_list, listing_counts, global_ids, verse_gaps, coverage_report, find_matches, find_replace, boilerplate_lines, line_ends, search)}
-FLAGSHIP = variant_clusters
+FLAGSHIP = variant_clusters_whole
 
 _COUNTS = "c AS (SELECT word, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS first FROM t GROUP BY word HAVING count(*) >= {least})"
 _CROSS = f"""
@@ -125,6 +138,7 @@ _CROSS = f"""
     listings AS (SELECT * FROM own UNION ALL SELECT o.section, doc_id, true FROM other o JOIN {_SECTIONS_SQL} ON o.section = s.section WHERE o.section <> lang AND o.section IN ('de', 'en', 'es', 'fr', 'xx'))"""
 _VERSES = "v AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)"
 
+#: The whole variant scans compare all pairs of words: too slow in SQL; tested by brute force.
 SQL = {
     "word_counts": f"WITH {_TOKENS}, {_COUNTS.format(least=1)} SELECT word, n, first.d AS first_doc, CAST(first.p AS BIGINT) AS first_pos FROM c",
     "corpus_dictionary": f"WITH {_TOKENS} SELECT DISTINCT word FROM t",
