@@ -371,14 +371,19 @@ def _split(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _linked(percent: int):
-    """Of one block: each document's component within the block, and its links there."""
+    """Of one block, or of two blocks that meet: each document's links there, and the smallest document that they reach."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc = table.column("doc_id").to_numpy()
+        doc, own, one, two = (table.column(c).to_numpy() for c in ("doc_id", "own", "one", "two"))
         size, sets = _split(table)
-        common = _overlaps(sets, sets)
-        total = size[:, None] + size[None, :]
-        ok = common * 100 >= (total - common) * percent
+        ok = np.zeros((len(doc), len(doc)), bool)
+        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        if len(left) and len(right):
+            common = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+            total = size[left][:, None] + size[right][None, :]
+            met = common * 100 >= (total - common) * percent
+            ok[np.ix_(left, right)] = met
+            ok[np.ix_(right, left)] = met.T
         np.fill_diagonal(ok, False)
         root = np.full(len(doc), -1)
         for i in np.argsort(doc, kind="stable"):
@@ -389,7 +394,7 @@ def _linked(percent: int):
                     new = np.flatnonzero(ok[todo.pop()] & (root < 0))
                     root[new] = i
                     todo.extend(new.tolist())
-        return pa.table({"cloud": table.column("cloud"), "k": table.column("k"), "doc_id": pa.array(doc), "root": pa.array(doc[root]), "links": pa.array(ok.sum(axis=1).astype(np.int64))})
+        return pa.table({"k": table.column("k"), "doc_id": pa.array(doc), "root": pa.array(doc[root]), "links": pa.array(ok.sum(axis=1).astype(np.int64))})
 
     return run
 
@@ -413,67 +418,12 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _bridges(percent: int):
-    """Of one cloud's two blocks: pairs that reach the threshold and join two components that nothing joined before."""
-
-    def run(table: pa.Table) -> pa.Table:
-        minor = table.column("minor").to_numpy() == 1
-        doc, c = (table.column(k).to_numpy() for k in ("doc_id", "c"))
-        size, sets = _split(table)
-        one, two = np.flatnonzero(minor), np.flatnonzero(~minor)
-        pairs: list[tuple[int, int]] = []
-        if len(one) and len(two):
-            common = _overlaps([sets[i] for i in one], [sets[i] for i in two])
-            total = size[one][:, None] + size[two][None, :]
-            ok = (common * 100 >= (total - common) * percent) & (c[one][:, None] != c[two][None, :])
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while parent.setdefault(x, x) != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                u, v = root(int(c[one[i]])), root(int(c[two[j]]))
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-                    pairs.append((int(doc[one[i]]), int(doc[two[j]])))
-        return pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
-
-    return run
-
-
-def _apart(docs: DataFrame, inside: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """(node, component) of the documents of clouds with several blocks.
-
-    Between the components that blocks have found, edges are sought: the largest
-    component of a cloud needs no pairs of its own, so only the other sets meet
-    all sets of the cloud, block by block.
-    """
-    rows = inside.select("cloud", "k", "doc_id", F.col("root").alias("c"))
-    parts = rows.groupBy("cloud", "c").agg(F.count("*").alias("size"))
-    clouds = parts.groupBy("cloud").agg(F.max_by("c", F.struct("size", "c")).alias("major"), F.max("size").alias("most"))
-    n_minor = F.greatest(F.lit(1), F.ceil((F.col("k") - F.col("most")) / block)).cast("int")
-    n_all = F.ceil(F.col("k") / block).cast("int")
-    place = F.xxhash64("doc_id")
-    chosen = _with_sets(docs, rows.join(clouds, "cloud").select("doc_id", "cloud", "c", "k", "major", "most"), words)
-    columns = ["cloud", "one", "two", "minor", "doc_id", "c", "shingles"]
-    minor = chosen.where("c <> major").select("*", F.lit(1).alias("minor"), F.pmod(place, n_minor).cast("int").alias("one"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("two"))
-    every = chosen.select("*", F.lit(0).alias("minor"), F.pmod(place, n_all).cast("int").alias("two"), F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("one"))
-    met = minor.select(columns).unionByName(every.select(columns)).groupBy("cloud", "one", "two")
-    bridges = met.applyInArrow(_bridges(percent), "u bigint, v bigint")
-    own = rows.select(F.col("doc_id").alias("u"), F.col("c").alias("v"))
-    return connected_components(bridges.unionByName(own))
-
-
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, links, component_id.
 
     class_id: the smallest doc_id with the same set. component_id: the smallest
-    doc_id reachable by links. links: of the document's class to other classes:
-    all of them where what the index joins (a cloud) has at most block classes,
-    else those within the class's block. Null, empty and blank texts have no
-    shingles and link with nothing. doc_id must be unique and not null; other
+    doc_id reachable by links. links: how many other classes the document's class
+    links to. Null, empty and blank texts have no shingles and link with nothing. doc_id must be unique and not null; other
     columns are not read; an empty table gives an empty result.
     """
     small = written(docs.select("doc_id", "text").mapInArrow(_digests(words, percent), "doc_id bigint, n bigint, d0 bigint, d1 bigint, about bigint, bits binary"), "digests")
@@ -492,12 +442,16 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     near = met.where("not hot").join(one, "u").join(two, "v").mapInArrow(_near(percent), "u bigint, v bigint")
     clouds = connected_components(near.unionByName(met.where("hot").select("u", "v")))
     sizes = clouds.groupBy("component").agg(F.count("*").alias("k"))
-    placed = clouds.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cloud"), "k", F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / block)).alias("block"))
-    inside = _with_sets(docs, placed, words).groupBy("cloud", "block").applyInArrow(_linked(percent), "cloud bigint, k bigint, doc_id bigint, root bigint, links bigint")
-    inside = written(inside, "inside")
+    blocks, own = F.ceil(F.col("k") / block), F.col("own")
+    placed = clouds.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cloud"), "k", F.pmod(F.xxhash64("node"), blocks).alias("own"))
+    # each two blocks of a cloud meet once, and each block meets itself
+    met = _with_sets(docs, placed, words).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    met = met.withColumns({"one": F.least(own, F.col("other")), "two": F.greatest(own, F.col("other"))})
+    inside = written(met.groupBy("cloud", "one", "two").applyInArrow(_linked(percent), "k bigint, doc_id bigint, root bigint, links bigint"), "inside")
+    found = inside.groupBy(F.col("doc_id").alias("class_id")).agg(F.min("root").alias("root"), F.sum("links").alias("links"))
     large = inside.where(F.col("k") > block)
-    found = inside.select(F.col("doc_id").alias("class_id"), "root", "links", "k")
     if not large.isEmpty():
-        found = found.join(_apart(docs, large, words, percent, block).withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("component", "root"))
+        joined = connected_components(large.select(F.col("doc_id").alias("u"), F.col("root").alias("v")).distinct())
+        found = found.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("component", "root"))
     out = classes.join(found.select("class_id", "root", "links"), "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class_id").alias("component_id"))

@@ -79,6 +79,20 @@ def test_ngram_join(spark, words, percent, monkeypatch):
     assert ngram_join.ngram_join(docs(spark, texts).limit(0), words, percent).count() == 0
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (1, 60)])
+def test_ngram_links_equal_brute_force(spark, words, percent):
+    texts = some_texts(words)
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(zip(*[w[k:] for k in range(words)])) if len(w) >= words else frozenset([tuple(w)]) if w else frozenset())
+    want = [sum(1 for y in set(sets) if y and y != x and 100 * len(x & y) >= percent * len(x | y)) for x in sets]
+    assert max(want) > 4
+    for block in (500, 4):  # clouds in one block, and in several
+        got = {r.doc_id: r.links for r in ngram_join.ngram_join(docs(spark, texts), words, percent, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_ngram_bitmaps_never_exceed_the_difference():
     r = np.random.default_rng(1)
     for n in (5, 50, 900):
