@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekha.functions import text as t
@@ -78,19 +78,28 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line")).where("line <> ''")
 
 
+def _grams(line: Column, size: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(line) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(line, i, F.lit(size))))
+
+
 def search(docs: DataFrame, queries: DataFrame, most: int = 15) -> DataFrame:
     """(query_id, rank, doc_id, line_no): documents one of whose lines holds every word of the query, in order of doc_id.
 
-    Lines and query words meet on the words' first three letters' trigram; what
-    meets is verified by containment.
+    Lines and queries meet on the first three letters of the query's longest word
+    (on one or two where no word is longer); what meets is verified by containment.
+    A query without words has no row.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(F.split(t.search_form(F.col("query")), " "))).alias("word")).where("length(word) >= 3")
+    words = queries.select("query_id", F.explode(F.array_distinct(F.split(t.search_form(F.col("query")), " "))).alias("word")).where("word <> ''")
     n = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
     body = lines(docs).select("doc_id", "line_no", F.lower("line").alias("line"))
-    grams = body.select("doc_id", "line_no", "line", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("line") - 2)), lambda i: F.substring("line", i, F.lit(3))))).alias("gram"))
     longest = words.groupBy("query_id").agg(F.max_by("word", F.struct(F.length("word"), "word")).alias("word"))
     probes = longest.select("query_id", F.substring("word", 1, 3).alias("gram"), F.col("word").alias("probe"))
-    met = grams.join(probes, "gram").where(F.col("line").contains(F.col("probe"))).select("query_id", "doc_id", "line_no", "line")
+    met = None
+    for size in [r.size for r in probes.select(F.length("gram").alias("size")).distinct().collect()] or [3]:  # at most three
+        grams = body.select("doc_id", "line_no", "line", F.explode(_grams(F.col("line"), size)).alias("gram"))
+        found = grams.join(probes.where(F.length("gram") == size), "gram").where(F.col("line").contains(F.col("probe"))).select("query_id", "doc_id", "line_no", "line")
+        met = found if met is None else met.union(found)
     hits = met.join(words, "query_id").where(F.col("line").contains(F.col("word"))).groupBy("query_id", "doc_id", "line_no").agg(F.count("*").alias("k"))
     full = hits.join(n, "query_id").where("k = n_words").groupBy("query_id", "doc_id").agg(F.min("line_no").alias("line_no"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))

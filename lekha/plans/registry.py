@@ -126,9 +126,14 @@ def search(spark, sf):
     return d.search(_docs(spark, sf), queries)
 
 
+def search_whole(spark, sf):
+    """Each benchmark text, with all its words, as a query."""
+    return d.search(_docs(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
 QUERIES = {f.__name__: f for f in (
     word_counts, corpus_dictionary, vocab_by_section, subset_vocab, merge_lexicons, lexicon_diff, oov_tokens, variant_pairs, variant_clusters, variant_pairs_whole, variant_clusters_whole,
-    cross_list, listing_counts, global_ids, verse_gaps, coverage_report, find_matches, find_replace, boilerplate_lines, line_ends, search)}
+    cross_list, listing_counts, global_ids, verse_gaps, coverage_report, find_matches, find_replace, boilerplate_lines, line_ends, search, search_whole)}
 FLAGSHIP = variant_clusters_whole
 
 _COUNTS = "c AS (SELECT word, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS first FROM t GROUP BY word HAVING count(*) >= {least})"
@@ -177,4 +182,10 @@ SQL = {
         h AS (SELECT query_id, doc_id, min(line_no) AS line_no FROM qw JOIN n ON len(ws) > 0 AND contains(n.line, ws[1]) AND (len(ws) < 2 OR contains(n.line, ws[2])) AND (len(ws) < 3 OR contains(n.line, ws[3])) GROUP BY query_id, doc_id),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank, doc_id, CAST(line_no AS BIGINT) AS line_no FROM h)
         SELECT * FROM r WHERE rank <= 15""",
+    "search_whole": r"""WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS ws FROM benchmark),
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+        n AS (SELECT doc_id, line_no, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS line FROM l),
+        h AS (SELECT query_id, doc_id, min(line_no) AS line_no FROM q JOIN n ON len(ws) > 0 AND contains(n.line, ws[1]) AND len(list_filter(ws, lambda x: NOT contains(n.line, x))) = 0 GROUP BY query_id, doc_id),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank, doc_id, CAST(line_no AS BIGINT) AS line_no FROM h)
+        SELECT * FROM r WHERE rank <= 15""",
 }

@@ -170,3 +170,16 @@ def test_whole_variant_queries_equal_brute_force(spark, tmp_path):
     best = {x: min((y for y in n if bare[y] == bare[x]), key=lambda y: (-n[y], y)) for x in n if bare[x]}
     want = {i: " ".join(best.get(x, x) for x in text.split()) for i, text in enumerate(texts)}
     assert {x.doc_id: x.text for x in publishing.replace_words_whole(spark, str(tmp_path)).collect()} == {i: x for i, x in want.items() if x != texts[i]}
+
+
+def test_search_keeps_short_words(spark):
+    docs = spark.createDataFrame([(1, "the cat\nIt is a  cat"), (2, "the dog"), (3, None), (4, ""), (5, "राम का")], "doc_id long, text string")
+    queries = [(1, "is cat"), (2, "a"), (3, "it"), (4, "का"), (5, "a dog"), (6, " "), (7, None), (8, "the")]
+    texts = {1: ["the cat", "it is a cat"], 2: ["the dog"], 5: ["राम का"]}
+    want = set()
+    for q, x in queries:
+        ws = (x or "").split()
+        found = [(doc, min(i for i, line in enumerate(ls) if all(y in line for y in ws))) for doc, ls in texts.items() if ws and any(all(y in line for y in ws) for line in ls)]
+        want |= {(q, k + 1, doc, at) for k, (doc, at) in enumerate(found)}
+    assert {tuple(r) for r in documents.search(docs, spark.createDataFrame(queries, "query_id long, query string")).collect()} == want
+    assert documents.search(docs, spark.createDataFrame([], "query_id long, query string")).count() == 0
