@@ -34,6 +34,8 @@ _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * U64(0xD6E8FEB86659FD93))
 #: Anchors of a bucket, and contexts of a part, about.
 BUCKET, PART = 500_000, 20_000
+#: Contexts of a key from which it is hot: its windows are dealt one by one.
+HOT = 2_000
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -261,6 +263,61 @@ def _mark(table: pa.Table) -> pa.Table:
     return pa.concat_tables([found, known.cast(found.schema)])
 
 
+def _windows(batches):
+    """Of contexts of hot keys: each window of its own, with a hash of its key, distance and bytes.
+
+    Where an equal window stands earlier among these contexts, it is marked at once
+    (bits), so that what meets of a common window is a small part of its places.
+    """
+    for batch in batches:
+        out = sorted(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "near", "far", "key", "bytes")), strict=True))
+        first: set[tuple] = set()
+        rows = []
+        for doc, place, near, far, key, part in out:
+            bits = 0
+            for d in range(near, far + 1):
+                window = part[far - d : far - d + WINDOW]
+                if (key, d, window) in first:
+                    bits |= 1 << d
+                    continue
+                first.add((key, d, window))
+                w = hashlib.blake2b(window, digest_size=8, key=key.to_bytes(8, "little", signed=True) + bytes([d]))
+                rows.append((doc, place, d, int.from_bytes(w.digest(), "little", signed=True), None))
+            if bits:
+                rows.append((doc, place, None, None, bits))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "place", "d", "w", "bits"])
+
+
+def dealt(contexts: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
+    """contexts (written) with the part where each is compared.
+
+    Contexts meet by their key. Of a key of hot contexts or more, only windows that
+    occur twice go on, each as a context of that window alone, and meet by the
+    window's hash; equal windows still meet, so the choice never changes the result.
+    """
+    keys = contexts.where("bytes is not null").groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= hot).select("key")
+    by_key = F.xxhash64(F.when(F.col("bytes").isNull(), F.col("doc_id")).otherwise(F.col("key")))
+    columns = ["doc_id", "place", "near", "far", "key", "bytes", "bits"]
+    keys = written(keys, "hot_keys")
+    if keys.isEmpty():
+        return contexts.select(*columns, F.pmod(by_key, F.lit(parts)).alias("part"))
+    keys = F.broadcast(keys)
+    whole = contexts.where("bytes is not null")
+    cold = contexts.where("bytes is null").unionByName(whole.join(keys, "key", "left_anti").select(columns))
+    cold = cold.select(*columns, F.pmod(by_key, F.lit(parts)).alias("part"))
+    split = whole.join(keys, "key", "left_semi").select(columns)
+    windows = written(split.mapInArrow(_windows, "doc_id bigint, place bigint, d bigint, w bigint, bits bigint"), "windows")
+    # of windows marked above the first stands for all; it goes on if it occurs in other batches
+    twice = windows.where("w is not null").groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
+    again = windows.where("w is not null").join(twice, "w", "left_semi").select("doc_id", "place", "d", "w").join(split, ["doc_id", "place"]).where("d between near and far")
+    again = again.select("doc_id", "place", F.col("d").alias("near"), F.col("d").alias("far"), "key",
+                         F.col("bytes").substr((F.col("far") - F.col("d") + 1).cast("int"), F.lit(WINDOW)).alias("bytes"), F.lit(None).cast("bigint").alias("bits"), F.pmod(F.xxhash64("w"), F.lit(parts)).alias("part"))
+    none = F.lit(None).cast("bigint")
+    known = windows.where("bits is not null").select("doc_id", "place", none.alias("near"), none.alias("far"), none.alias("key"), F.lit(None).cast("binary").alias("bytes"), "bits", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
+    return cold.unionByName(again).unionByName(known)
+
+
 def _removed(batches):
     """Of documents with marks: what goes."""
     for batch, raw, at in _texts(batches, 500):
@@ -280,7 +337,7 @@ def _removed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Each byte covered by a 100-byte string that also starts earlier (in a smaller
@@ -300,9 +357,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     places = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     chosen = written(rows.join(copies, "doc_id", "left_anti").join(places, "doc_id"), "chosen")
     n = chosen.agg(F.sum(F.size("places"))).first()[0] or 0
-    contexts = chosen.mapInArrow(_contexts, "doc_id bigint, place bigint, near bigint, far bigint, key bigint, bytes binary, bits bigint")
-    part = F.pmod(F.xxhash64(F.when(F.col("bytes").isNull(), F.col("doc_id")).otherwise(F.col("key"))), F.lit(max(1, -(-n // PART))))
-    marks = contexts.withColumn("part", part).groupBy("part").applyInArrow(_mark, "doc_id bigint, place bigint, bits bigint")
+    contexts = written(chosen.mapInArrow(_contexts, "doc_id bigint, place bigint, near bigint, far bigint, key bigint, bytes binary, bits bigint"), "contexts")
+    marks = dealt(contexts, max(1, -(-n // PART)), hot).groupBy("part").applyInArrow(_mark, "doc_id bigint, place bigint, bits bigint")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
     gone = chosen.select("doc_id", "text").join(marks, "doc_id").mapInArrow(_removed, "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     out = facts.join(gone, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")

@@ -222,6 +222,28 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_substring_dedup_splits_a_hot_key(spark):
+    r = random.Random(4)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, edge = noise(80), noise(30)
+    texts = [noise(150) + line + noise(150) for _ in range(300)] + [noise(120) + edge + line + noise(120) for _ in range(40)] + [noise(99) + line + "z" * 200] * 2
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        b, gone = t.encode(), np.zeros(len(t), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        want[i] = (int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    assert sum(n > 0 for n, _ in want.values()) == 39 + 2
+    for hot in (10, 10_000):
+        got = {x.doc_id: (x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(docs(spark, texts).repartition(6), hot).collect()}
+        assert got == want
+    unique = spark.createDataFrame([(i, 200, 0, 50, 7, (noise(50) + line[:50] + noise(50)).encode(), None) for i in range(500)], "doc_id long, place long, near long, far long, key long, bytes binary, bits long")
+    assert substring_dedup.dealt(unique, 4, hot=10_000).where("bytes is not null").groupBy("part").count().first()["count"] == 500
+    assert substring_dedup.dealt(unique, 4, hot=100).where("bytes is not null").count() == 0
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
