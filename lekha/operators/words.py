@@ -11,26 +11,27 @@ from lekha.operators.graph import connected_components
 from lekha.plans.shared import written
 
 
-def occurrences(docs: DataFrame, profile: str) -> DataFrame:
-    """(doc_id, section, pos, word) of every token."""
-    return docs.select("doc_id", F.col("lang").alias("section"), F.posexplode(t.tokens(F.col("text"), profile)).alias("pos", "word"))
+def occurrences(docs: DataFrame, profile: str, cleaned: bool = False) -> DataFrame:
+    """(doc_id, section, pos, word) of every token; cleaned: as dictionaries and spell scans take them."""
+    words = (t.clean_tokens if cleaned else t.tokens)(F.col("text"), profile)
+    return docs.select("doc_id", F.col("lang").alias("section"), F.posexplode(words).alias("pos", "word"))
 
 
-def word_counts(docs: DataFrame, profile: str, least: int = 1) -> DataFrame:
+def word_counts(docs: DataFrame, profile: str, least: int = 1, cleaned: bool = False) -> DataFrame:
     """(word, n, first_doc, first_pos): how often, and where a word is first seen."""
     first = F.min(F.struct("doc_id", "pos"))
-    out = occurrences(docs, profile).groupBy("word").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= least)
+    out = occurrences(docs, profile, cleaned).groupBy("word").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= least)
     return out.select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").cast("bigint").alias("first_pos"))
 
 
 def dictionary(docs: DataFrame, profile: str, sections: list[str] | None = None) -> DataFrame:
-    rows = occurrences(docs, profile)
+    rows = occurrences(docs, profile, cleaned=True)
     return (rows.where(F.col("section").isin(sections)) if sections is not None else rows).select("word").distinct()
 
 
 def vocabulary_sizes(docs: DataFrame, profile: str) -> DataFrame:
     """(section, n_words), and the whole with a null section; distinct first, so that each count is a plain sum."""
-    pairs = occurrences(docs, profile).select("section", "word").distinct()
+    pairs = occurrences(docs, profile, cleaned=True).select("section", "word").distinct()
     return pairs.groupBy("section").agg(F.count("*").alias("n_words")).unionByName(pairs.select("word").distinct().agg(F.count("*").alias("n_words")).withColumn("section", F.lit(None).cast("string")))
 
 
@@ -63,7 +64,7 @@ def variant_clusters(counts: DataFrame, profile: str, least_total: int = 4) -> D
 
 def unknown_words(docs: DataFrame, trusted: DataFrame, profile: str) -> DataFrame:
     """(word, n, n_docs) of the words of docs that trusted (word) lacks; words are looked up once each."""
-    counts = occurrences(docs, profile).groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+    counts = occurrences(docs, profile, cleaned=True).groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
     return counts.join(trusted, "word", "left_anti")
 
 

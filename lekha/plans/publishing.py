@@ -79,7 +79,7 @@ def replace_words_whole(spark, sf):
 
 def suggest(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1").select("doc_id")
-    counts = w.word_counts(docs.join(labels, "doc_id", "left_semi"), PROFILE)
+    counts = w.word_counts(docs.join(labels, "doc_id", "left_semi"), PROFILE, cleaned=True)
     unknown = w.unknown_words(docs.join(labels, "doc_id", "left_anti"), counts.select("word"), PROFILE)
     return w.suggestions(unknown, counts)
 

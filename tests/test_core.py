@@ -183,3 +183,14 @@ def test_search_keeps_short_words(spark):
         want |= {(q, k + 1, doc, at) for k, (doc, at) in enumerate(found)}
     assert {tuple(r) for r in documents.search(docs, spark.createDataFrame(queries, "query_id long, query string")).collect()} == want
     assert documents.search(docs, spark.createDataFrame([], "query_id long, query string")).count() == 0
+
+
+def test_dictionaries_clean_words_of_any_length(spark):
+    long = "क" * 31
+    docs = spark.createDataFrame([(1, "राम। १ " + long, "hi"), (2, "॥राम॥ ह। " + long, "hi"), (3, None, "hi")], "doc_id long, text string, lang string")
+    known = w.dictionary(docs.where("doc_id = 1"), "devanagari")
+    assert sorted(r.word for r in known.collect()) == sorted(["राम", long])
+    assert w.unknown_words(docs.where("doc_id > 1"), known, "devanagari").count() == 0
+    assert {(r.section, r.n_words) for r in w.vocabulary_sizes(docs, "devanagari").collect()} == {("hi", 2), (None, 2)}
+    assert {(r.word, r.n) for r in w.word_counts(docs, "devanagari", cleaned=True).collect()} == {("राम", 2), (long, 2)}
+    assert long not in {r.word for r in w.word_counts(docs, "devanagari").collect()}
