@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lekha.plans.shared import written
+from lekha.plans.shared import join_groups, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with m of their u; hubs are joined apart."""
+    return join_groups(edges, written(least, "least"), ["u"], "k", n)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
+    return _with_least(both.where("v > u"), least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     low = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = low.groupBy("u").agg(F.min("v").alias("m"))
-    joined = low.join(least, "u")
+    least = low.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    joined = _with_least(low, least, n)
     return (
         joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        .union(least.select("u", F.col("m").alias("v"))).distinct()
+        .union(joined.select("u", F.col("m").alias("v"))).distinct()
     )
 
 
@@ -32,7 +37,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     empty result. A round ends with a written table, so the plan stays small and
     a lost executor costs one round. The number of rounds grows with the
     logarithm of the longest path. A node's edges are never gathered in a list,
-    so a hub is an ordinary skewed join, which adaptive execution splits.
+    and hubs are joined by a broadcast of bounded size.
     """
     now = written(
         edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v")
@@ -41,7 +46,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     )
     mark = None
     for _ in range(max_rounds):
-        now = written(_small_star(_large_star(now)), "round")
+        n = now.count()
+        large = written(_large_star(now, n), "large_star")
+        now = written(_small_star(large, large.count()), "round")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break

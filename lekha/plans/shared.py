@@ -6,16 +6,23 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Groups that hold this part of all rows, or more, are joined apart.
+SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, one machine) a new temporary
-    folder is made and kept as the session's own.
+    Only where the setting is absent and all runs on one machine (tests) a new
+    temporary folder is made and kept as the session's own.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lekha.shared.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-lekha-")
         spark.conf.set("lekha.shared.dir", conf)
     return conf.rstrip("/")
@@ -36,5 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """rows (written) with the columns of groups, one row a key, or nulls where there is none: a left join without a hot task.
+
+    size is a column of groups: how many of the `total` rows have the key. Groups
+    with a SHARE-th of all rows or more, which are SHARE at most, are broadcast;
+    the rest is joined by a shuffle, in which no key is hot.
+    """
+    hot = F.col(size) * SHARE >= total
+    first = rows.join(F.broadcast(groups.where(hot).withColumn("__hot", F.lit(True))), key, "left")
+    rest = first.where("__hot is null").select(rows.columns).join(groups.where(~hot), key, "left")
+    return first.where("__hot").drop("__hot").unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
