@@ -1,8 +1,9 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
-Candidate spans come from regexes, strict and loose. Three more labelers (a
-gazetteer of domains, issuers and codes; the words before the span; the digits'
-variety) vote besides the strict check. Expectation-maximisation over the counts
+Candidate spans come from regexes, strict and loose, and, for secrets, from long
+runs of letters and digits. Three more labelers (a gazetteer of domains, issuers,
+codes and forms of keys; the words and signs before the span; the variety of its
+characters) vote besides the strict check. Expectation-maximisation over the counts
 of vote patterns estimates each labeler's reliability and each pattern's
 posterior; these train a logistic classifier of spans, which is applied as a
 column expression. Spans that pass the strict check always stay.
@@ -16,7 +17,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+from lekha.plans.shared import written
+
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: A text is cut at matches of these. A match can begin only where the one before
 #: ends or where no character of its first class precedes, which is where the
 #: leftmost match begins; the possessive forms never backtrack.
@@ -31,24 +35,32 @@ LOOSE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
 #: Cheap conditions without which a pattern cannot match.
 NEEDS = {
     ("email", 0): r"@[A-Za-z0-9-]", ("ip", 0): r"[0-9]\.[0-9]", ("card", 0): r"[0-9](?:[\x20-]?[0-9]){11}", ("phone", 0): r"\+[0-9]",
     ("email", 2): r"[(\[]at[)\]]", ("ip", 2): r"[0-9A-Fa-f]:[0-9A-Fa-f]", ("card", 2): r"[0-9]{4}[._/][0-9]{4}[._/]", ("phone", 2): r"[0-9]{3}[.-][0-9]{4}",
+    ("secret", 2): r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}",
 }
 #: The gazetteer: what speaks for a kind, and against it.
 FOR = {
     "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu)$", "ip": r"^(?!0|10\.|127\.|22[4-9]\.|2[3-5][0-9]\.)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)", "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+    "secret": r"^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[a-z]_.*|sk-.*|xox[a-z]-.*|eyJ.*)=*$",
 }
-AGAINST = {"email": r"(?i)@(?:localhost|invalid)", "ip": r"^(?:0|127)\.", "card": r"^[0789]", "phone": r"^\+0"}
+AGAINST = {"email": r"(?i)@(?:localhost|invalid)", "ip": r"^(?:0|127)\.", "card": r"^[0789]", "phone": r"^\+0", "secret": r"^(?:[0-9/_-]+|[A-Za-z]+(?:[/_-][A-Za-z0-9]{1,12})+)$"}
 CONTEXT = {
     "email": r"(?i)(?:mail|contact|write|reach|kontakt|correo|courriel)", "ip": r"(?i)(?:\bip\b|address|host|server|login|adresse)",
     "card": r"(?i)(?:card|visa|credit|payment|karte|carte|tarjeta)", "phone": r"(?i)(?:phone|tel|call|mobile|fax|anruf|llam)",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)\W{0,6}$",
 }
 OTHER_CONTEXT = r"(?i)(?:version|release|isbn|serial|order no|invoice|\bv\.?)\s*$"
 BEFORE = 32
+#: So few different characters speak against a span, and so many for it.
+VARIED = {"email": (4, 8), "ip": (1, 4), "card": (3, 6), "phone": (2, 5), "secret": (5, 10)}
+#: Characters of the blocks in which texts are masked.
+MASK_BLOCK = 4096
 #: Least probability of a span that fails the strict check or is loose.
 ACCEPT = 0.9
 VOTES = ("check", "gazetteer", "context", "variety")
@@ -69,13 +81,13 @@ def prefix_sums(xs: Column, block: int = 256) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """start, end (code points, end exclusive) and text of the leftmost non-overlapping matches."""
+    """start, end (code points, end exclusive) and text of the leftmost non-overlapping matches, and up to BEFORE characters between the last match and each."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(found, F.slice(gaps, 1, F.size(gaps) - 1), lambda m, g: F.length(m) + F.length(g))
     before = prefix_sums(steps)
     each = F.zip_with(F.zip_with(found, before, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), F.slice(gaps, 1, F.size(gaps) - 1),
-                      lambda x, g: F.struct((x.b + F.length(g)).alias("start"), (x.b + F.length(g) + F.length(x.m)).alias("end"), x.m.alias("text")))
+                      lambda x, g: F.struct((x.b + F.length(g)).alias("start"), (x.b + F.length(g) + F.length(x.m)).alias("end"), x.m.alias("text"), F.substring(g, -BEFORE, BEFORE).alias("before")))
     return each
 
 
@@ -104,13 +116,14 @@ def _candidates(kind: str, text: Column, loose: bool) -> Column:
         return F.when(yes, 1).when(no, -1).otherwise(0)
 
     def row(m: Column) -> Column:
-        before = F.substring(text, F.greatest(m.start - BEFORE + 1, F.lit(1)), F.least(m.start, F.lit(BEFORE)))
         check = F.lit(0) if loose else F.when(_strict_ok(kind, m.text), 1).otherwise(-1)
+        kinds = F.size(F.array_distinct(F.split(m.text if kind in ("email", "secret") else _digits(m.text), "")))
         few = F.lit(False) if kind == "email" else _digits(m.text).rlike(r"([0-9])\1{5}|^(?:0123|1234)|^([0-9]{2,4})\2{2,}")
+        few, many = few | (kinds <= VARIED[kind][0]), kinds >= VARIED[kind][1]
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), m.start.alias("start"), m.end.alias("end"), F.lit(loose).alias("loose"),
             check.alias("check"), vote(m.text.rlike(FOR[kind]), m.text.rlike(AGAINST[kind])).alias("gazetteer"),
-            vote(before.rlike(CONTEXT[kind]), before.rlike(OTHER_CONTEXT)).alias("context"), F.when(few, -1).otherwise(0).alias("variety"),
+            vote(m.before.rlike(CONTEXT[kind]), m.before.rlike(OTHER_CONTEXT)).alias("context"), F.when(few, -1).when(many, 1).otherwise(0).alias("variety"),
             F.least(F.floor(F.length(m.text) / 8), F.lit(3)).cast("int").alias("size"))
 
     pattern = (LOOSE if loose else STRICT)[kind]
@@ -120,17 +133,17 @@ def _candidates(kind: str, text: Column, loose: bool) -> Column:
     return F.when(text.rlike(NEEDS[kind, 2 * loose]), rows)
 
 
-def with_candidates(docs: DataFrame, text: str = "text", name: str = "candidates") -> DataFrame:
+def with_candidates(docs: DataFrame, text: str = "text", name: str = "__candidates") -> DataFrame:
     """docs and their candidate spans; a null text counts as empty. Loose ones that meet a strict span are left out."""
     t = F.coalesce(F.col(text), F.lit(""))
-    every = [x for k in KINDS for x in (f"__{k}_0", f"__{k}_1")]
-    made = docs.withColumns({f"__{k}_{int(loose)}": _candidates(k, t, loose) for k in KINDS for loose in (False, True)})
+    strict_names, loose_names = [f"__{k}_0" for k in BASE], [f"__{k}_1" for k in KINDS]
+    made = docs.withColumns({**{f"__{k}_0": _candidates(k, t, False) for k in BASE}, **{f"__{k}_1": _candidates(k, t, True) for k in KINDS}})
     none = F.array().cast(made.schema["__email_0"].dataType)
-    strict = F.concat(*[F.coalesce(F.col(x), none) for x in every[::2]])
-    loose = F.concat(*[F.coalesce(F.col(x), none) for x in every[1::2]])
+    strict = F.concat(*[F.coalesce(F.col(x), none) for x in strict_names])
+    loose = F.concat(*[F.coalesce(F.col(x), none) for x in loose_names])
     some = F.filter(loose, lambda x: ~F.exists(strict, lambda s: (s.check == 1) & (s.start < x.end) & (x.start < s.end)))
-    any_loose = F.coalesce(*[F.col(x) for x in every[1::2]]).isNotNull()
-    return made.withColumn(name, F.when(any_loose, F.concat(strict, some)).otherwise(strict)).drop(*every)
+    any_loose = F.coalesce(*[F.col(x) for x in loose_names]).isNotNull()
+    return made.withColumn(name, F.when(any_loose, F.concat(strict, some)).otherwise(strict)).drop(*strict_names, *loose_names)
 
 
 @dataclass
@@ -201,23 +214,40 @@ def train(rows: list[dict], steps: int = 300) -> Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learn from the candidates of all documents.
+    """Learn from the candidates of all documents (text)."""
+    return _fit(with_candidates(docs.select("text")))
+
+
+def _fit(rows: DataFrame) -> Model:
+    """Learn from rows with candidates.
 
     What reaches the driver is counts by kind, form, size and votes: at most
-    4 * 2 * 4 * 3**4 rows whatever the input. No candidates give a model that
+    5 * 2 * 4 * 3**4 rows whatever the input. No candidates give a model that
     accepts nothing beyond the strict spans.
     """
     keys = ["kind", "loose", "size", *VOTES]
-    rows = with_candidates(docs.select("text")).select(F.explode("candidates").alias("c")).select("c.*").groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = rows.select(F.explode("__candidates").alias("c")).select("c.*").groupBy(*keys).agg(F.count("*").alias("n"))
     return train(sorted((r.asDict() for r in rows.collect()), key=lambda r: [int(r[k]) for k in keys]))
 
 
-def with_spans(docs: DataFrame, model: Model) -> DataFrame:
-    """docs and spans, array<struct<kind, start, end, base>>, by kind and start."""
-    made = with_candidates(docs)
-    ok = F.filter("candidates", lambda x: (x.check == 1) | (model.probability(x) >= ACCEPT))
+def _spans(model: Model) -> Column:
+    """array<struct<kind, start, end, base>> of the candidates that stay, by kind and start."""
+    ok = F.filter("__candidates", lambda x: (x.check == 1) | (model.probability(x) >= ACCEPT))
     out = F.array_sort(F.transform(ok, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"), (x.check == 1).alias("base"))))
-    return made.withColumn("spans", F.when(F.size("candidates") > 0, out).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean>>"))).drop("candidates")
+    return F.when(F.size("__candidates") > 0, out).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean>>"))
+
+
+def with_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs and __spans, array<struct<kind, start, end, base>>, by kind and start.
+
+    Without a model one is fitted on docs; their candidates are then found once and
+    written beside them.
+    """
+    made = with_candidates(docs)
+    if model is None:
+        made = written(made, "candidates")
+        model = _fit(made)
+    return made.withColumn("__spans", _spans(model)).drop("__candidates")
 
 
 def span_string(spans: Column) -> Column:
@@ -226,34 +256,51 @@ def span_string(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret, n_spans.
 
     Null and empty texts have no spans. Repeated rows give repeated results. An
     empty table gives an empty result; other columns are not read.
     """
-    model = model or fit(docs)
-    rows = with_spans(docs.select("doc_id", "text"), model)
+    rows = docs.select("doc_id", "text")
+    if model is None:
+        rows = written(with_candidates(rows).drop("text"), "candidates")
+        model = _fit(rows)
+    else:
+        rows = with_candidates(rows).drop("text")
+    rows = rows.select("doc_id", _spans(model).alias("spans"))
     base = F.filter("spans", lambda s: s.base)
-    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(BASE)]
     return rows.select("doc_id", *counts, F.sha2(span_string(base).cast("binary"), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"),
-                       F.size(F.filter("spans", lambda s: ~s.base)).cast("bigint").alias("n_added"))
+                       F.size(F.filter("spans", lambda s: ~s.base)).cast("bigint").alias("n_added"),
+                       F.size(F.filter("spans", lambda s: s.kind == KINDS.index("secret"))).cast("bigint").alias("n_secret"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with every span of text replaced by <KIND>; where spans overlap, the first by start (then the longest) names the whole stretch."""
-    model = model or fit(docs)
+    """docs with every span of text replaced by <KIND>; where spans overlap, the first by start (then the longest) names the whole stretch.
+
+    Null and empty texts stay as they are; other columns are kept, but for n_chars,
+    which counts anew. Repeated rows are masked alike; an empty table stays empty.
+    """
     rows = with_spans(docs, model)
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), (-s.end).alias("end"), s.kind.alias("kind"))))
+    order = F.array_sort(F.transform("__spans", lambda s: F.struct(s.start.alias("start"), (-s.end).alias("end"), s.kind.alias("kind"))))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    none = F.lit(0)
+
+    def part(blocks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b, from the blocks that hold them: no more is looked at."""
+        first = F.floor(a / MASK_BLOCK).cast("int")
+        some = F.array_join(F.slice(blocks, first + 1, F.floor(b / MASK_BLOCK).cast("int") - first + 1), "")
+        return F.substring(some, a - first * MASK_BLOCK + 1, F.greatest(none, b - a))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(F.col("text"), acc.at + 1, s.start - acc.at), F.element_at(names, s.kind + 1))
-        return F.struct(F.greatest(acc.at, -s.end).alias("at"), F.when(s.start >= acc.at, F.concat(acc.out, F.array(piece))).otherwise(acc.out).alias("out"))
+    def replaced(blocks: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            piece = F.concat(part(blocks, acc.at, s.start), F.element_at(names, s.kind + 1))
+            return F.struct(F.greatest(acc.at, -s.end).alias("at"), F.when(s.start >= acc.at, F.concat(acc.out, F.array(piece))).otherwise(acc.out).alias("out"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc.out, ""), F.substring(F.col("text"), acc.at + 1, F.length("text")))
+        return F.aggregate(order, start, step, lambda acc: F.concat(F.array_join(acc.out, ""), part(blocks, acc.at, F.length("text"))))
 
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate(order, start, step, finish))
-    out = rows.withColumn("text", text).drop("spans")
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{MASK_BLOCK}}}"), F.lit(0))
+    text = F.when(F.size("__spans") == 0, F.col("text")).otherwise(F.transform(F.array(blocks), replaced)[0])
+    out = rows.withColumn("text", text).drop("__spans")
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
