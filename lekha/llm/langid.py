@@ -27,7 +27,10 @@ TRAIN_DOCS = 12_000
 #: N-grams of a language, at most.
 GRAMS = 60_000
 SLOT_BITS = 21
-MAX_LANGS = 64
+#: Languages in one word of a slot's mask.
+WORD = 64
+#: Bytes of a giant row that are looked at together.
+PIECE = 1 << 22
 UND = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -35,56 +38,67 @@ _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 _LETTER = (_FOLD != 32).astype(np.uint8)
 
 
-def grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that starts at each byte (spaces beyond the end), and whether it counts: it starts at a letter or its next byte is one."""
-    x = np.concatenate([_FOLD[raw], np.full(N - 1, 32, np.uint8)])
-    g = x[: len(raw)].astype(np.uint32)
+def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that starts at each byte, and whether it counts: it starts at a letter or its next byte is one.
+
+    Each row is followed by spaces, so that no n-gram reaches into the next row.
+    """
+    rows, size = len(offsets) - 1, np.diff(offsets)
+    at = np.arange(len(raw)) + np.repeat(np.arange(rows) * (N - 1), size)
+    x = np.full(len(raw) + rows * (N - 1) + N, 32, np.uint8)
+    x[at] = _FOLD[raw]
+    y = x.astype(np.uint32)
+    g = y[: len(x) - N]
     for k in range(1, N):
-        g |= x[k : k + len(raw)].astype(np.uint32) << np.uint32(8 * k)
+        g = g | y[k : len(x) - N + k] << np.uint32(8 * k)
     letter = _LETTER[x]
-    return g, (letter[: len(raw)] | letter[1 : len(raw) + 1]).astype(bool)
+    return g[at], (letter[at] | letter[at + 1]).astype(bool)
 
 
 @dataclass
 class Filter:
-    """langs: in the order of their bits; slots: masks; false_rate: of each language."""
+    """langs: in the order of their bits; slots: masks, an array for every 64 languages; false_rate: of each language."""
 
     langs: list[str]
-    slots: np.ndarray
+    slots: list[np.ndarray]
     false_rate: np.ndarray
     bits: int = SLOT_BITS
 
     @classmethod
     def of(cls, sets: dict[str, np.ndarray], bits: int = SLOT_BITS) -> Filter:
         langs = sorted(sets)
-        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= n)
-        slots = np.zeros(1 << bits, kind)
+        kind = next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(langs) <= n), np.uint64)
+        slots = [np.zeros(1 << bits, kind) for _ in range(0, max(1, len(langs)), WORD)]
+        filled = np.zeros(len(langs))
         for k, lang in enumerate(langs):
+            of = slots[k // WORD]
             for m in HASHES:
-                slots[np.unique(_slot(sets[lang].astype(np.uint32), m, bits))] |= kind(1 << k)
-        filled = np.array([((slots >> kind(k)) & kind(1)).mean() for k in range(len(langs))])
+                of[np.unique(_slot(sets[lang].astype(np.uint32), m, bits))] |= kind(1 << k % WORD)
+            filled[k] = ((of >> kind(k % WORD)) & kind(1)).mean()
         return cls(langs, slots, filled ** len(HASHES), bits)
 
-    def masks(self, g: np.ndarray) -> np.ndarray:
-        out = self.slots[_slot(g, HASHES[0], self.bits)]
-        for m in HASHES[1:]:
-            out &= self.slots[_slot(g, m, self.bits)]
-        return out
+    def masks(self, g: np.ndarray) -> list[np.ndarray]:
+        """Of each n-gram: the masks of all languages that contain it."""
+        places = [_slot(g, m, self.bits) for m in HASHES]
+        return [np.bitwise_and.reduce([of[p] for p in places]) for of in self.slots]
 
     def counts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each row: the n-grams that count, and how many each language has."""
+        """Of each row: the n-grams that count, and how many each language has; no row bears on another's."""
         n = np.zeros(len(offsets) - 1, np.int64)
         per = np.zeros((len(offsets) - 1, len(self.langs)), np.int64)
         for a, b in slabs(offsets):
             lo, hi = int(offsets[a]), int(offsets[b])
-            for at in range(lo, hi, 1 << 22):  # a giant row in pieces
-                end = min(hi, at + (1 << 22))
-                g, ok = grams(raw[at:end])
+            for at in range(lo, hi, PIECE):  # a giant row in pieces, each with the bytes that its last n-grams need
+                end = min(hi, at + PIECE)
+                more = min(hi, end + N - 1)
+                g, ok = grams(raw[at:more], np.clip(offsets[a : b + 1], at, more) - at)
+                g, ok = g[: end - at], ok[: end - at]
                 row = np.repeat(np.arange(b - a), np.diff(np.clip(offsets[a : b + 1], at, end)))[ok]
-                mask = self.masks(g[ok])
                 n[a:b] += np.bincount(row, minlength=b - a)
+                masks = self.masks(g[ok])
                 for k in range(len(self.langs)):
-                    per[a:b, k] += np.bincount(row[(mask >> mask.dtype.type(k)) & mask.dtype.type(1) != 0], minlength=b - a)
+                    mask = masks[k // WORD]
+                    per[a:b, k] += np.bincount(row[(mask >> mask.dtype.type(k % WORD)) & mask.dtype.type(1) != 0], minlength=b - a)
         return n, per
 
     def decide(self, n: np.ndarray, per: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -109,7 +123,7 @@ def _gram_counts(batches):
         langs = np.array(batch.column("lang").to_pylist(), object)
         for lang in sorted(set(langs)):
             parts = [raw[at[i] : at[i + 1]] for i in np.flatnonzero(langs == lang)]
-            g, ok = grams(np.concatenate([p for x in parts for p in (x, np.full(1, 32, np.uint8))]))
+            g, ok = grams(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]))
             got, n = np.unique(g[ok], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(got.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
@@ -119,8 +133,9 @@ def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_grams: int = GRAMS,
 
     A sample of about max_docs documents, chosen by a hash of doc_id, is enough.
     An n-gram belongs to each language that has at least 0.3 of its frequency,
-    relative to the languages' totals. At most MAX_LANGS languages and max_grams
-    n-grams of each come to the driver. Nothing to learn from: no languages.
+    relative to the languages' totals. At most max_grams n-grams of each language
+    come to the driver. Nothing to learn from: no languages. Rows that repeat in
+    the sample count as often as they occur.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", F.lower("text").alias("text"), "lang")
     total = rows.count()
@@ -133,8 +148,6 @@ def fit(labelled: DataFrame, max_docs: int = TRAIN_DOCS, max_grams: int = GRAMS,
     sets: dict[str, list[int]] = {}
     for r in top.select("lang", "gram").collect():
         sets.setdefault(r.lang, []).append(r.gram)
-    if len(sets) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     return Filter.of({k: np.array(v, np.int64) for k, v in sets.items()}, bits)
 
 
@@ -143,7 +156,9 @@ def predict(docs: DataFrame, model: Filter) -> DataFrame:
 
     lang_pred is und, with score 0, where the text is null or has no letter.
     score: the language's share of the corrected counts; coverage: the share of
-    the text's n-grams that it has. Only doc_id and text are read.
+    the text's n-grams that it has. A row's result depends on its own text alone;
+    repeated rows get equal results, and an empty table an empty one. Only doc_id
+    and text are read.
     """
 
     def run(batches):
