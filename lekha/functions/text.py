@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +18,47 @@ EDGES = r"[0-9।-ॿ‌‍]+"
 SPACE = r"[\s   -     　﻿]"
 
 
-def tokens(text: Column, profile: str = "devanagari", least: int = 2, most: int = 30) -> Column:
-    """Runs of the script's characters within the length bounds."""
+# Common words that a variant scan leaves out.
+STOP_WORDS = (
+    "के", "में", "से", "को", "पर", "और", "ही", "भी", "यह", "वह", "कि", "ना", "ने", "तो", "जो", "का", "की", "एक", "सब", "तब",
+    "जब", "वो", "हो", "था", "थी", "थे", "रहे", "कर", "करे", "किया", "गया", "गये", "हुआ", "हुई", "हुए", "है", "हैं")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+@F.pandas_udf("string")
+def nfc(text: pd.Series) -> pd.Series:
+    """The composed form; null stays null. For distinct words and titles rather than whole texts."""
+    return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+
+def prefix_sums(xs: Column, block: int = 256) -> Column:
+    """Sums of the elements before each one; blocks keep the work near linear in the length."""
+
+    def plain(ys: Column) -> Column:
+        start = F.struct(F.lit(0).cast("int").alias("s"), F.array().cast("array<int>").alias("a"))
+        return F.aggregate(ys, start, lambda acc, y: F.struct((acc.s + y).alias("s"), F.concat(acc.a, F.array(acc.s)).alias("a")), lambda acc: acc.a)
+
+    n = F.ceil(F.size(xs) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+    starts = plain(F.transform(blocks, lambda ys: F.aggregate(ys, F.lit(0), lambda s, y: s + y)))
+    whole = F.flatten(F.zip_with(blocks, starts, lambda ys, s: F.transform(plain(ys), lambda p: p + s)))
+    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).when(F.size(xs) <= block, plain(xs)).otherwise(whole)
+
+
+def pieces(text: Column, profile: str) -> Column:
+    """The text cut into runs of the script and what stands between; joined they are the text."""
+    run = PROFILES[profile][0]
+    return F.regexp_extract_all(text, F.lit(f"{run}|{run.replace('[', '[^', 1)}"), F.lit(0))
+
+
+def tokens(text: Column, profile: str = "devanagari", least: int = 2, most: int = 30, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Runs of the script's characters within the length bounds, without stop words."""
     text = F.lower(text) if profile == "ascii" else text
-    return F.filter(F.regexp_extract_all(text, F.lit(PROFILES[profile][0]), F.lit(0)), lambda w: F.length(w).between(least, most))
+    return F.filter(F.regexp_extract_all(text, F.lit(PROFILES[profile][0]), F.lit(0)), lambda w: F.length(w).between(least, most) & ~w.isin(*stop))
 
 
 def clean_token(word: Column) -> Column:
@@ -48,21 +89,30 @@ def spell_bound(length: Column) -> Column:
 
 def line_end(line: Column, mark: str = "।", double: str = "॥") -> Column:
     """A line that ends with the mark: a comma or a point becomes it, a blank line stays."""
-    bare = F.regexp_replace(line, f"{SPACE}+$", "")
-    return (
-        F.when(bare == "", line)
-        .when(bare.endswith(double), bare)
-        .when(bare.rlike(f"{mark}[.,]$"), F.regexp_replace(bare, "[.,]$", ""))
-        .when(bare.endswith(mark), bare)
-        .when(bare.rlike(r"[.,]$"), F.concat(F.regexp_replace(bare, r"[.,]$", ""), F.lit(mark)))
-        .otherwise(F.concat(bare, F.lit(mark)))
-    )
+
+    def ended(bare: Column) -> Column:
+        last, cut = F.substring(bare, -1, 1), lambda k: F.substring(bare, F.lit(1), F.length(bare) - k)
+        return (
+            F.when(bare == "", line)
+            .when(last.isin(mark, double), bare)
+            .when(~last.isin(",", "."), F.concat(bare, F.lit(mark)))
+            .when(F.substring(bare, -2, 1) == mark, cut(1))
+            .otherwise(F.concat(cut(1), F.lit(mark))))
+
+    return bound(F.regexp_replace(line, f"{SPACE}+$", ""), ended)
 
 
 def line_ends(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda x: line_end(x)), "\n")
 
 
+# Lines that a page builder leaves behind, whole or by their beginnings.
+BOILERPLATE = (
+    "^Google Sites$", "^Report abuse$", "^Skip to main content$", "^Skip to navigation$", "^Embedded Files$", "^Search this site$",
+    "^DOCS_timing\\b", "^window\\.WIZ_", "^Page built by Google")
+JUNK = "(?i)" + "|".join(BOILERPLATE)
+
+
 def without_lines(text: Column, pattern: str) -> Column:
     """The text less the lines that match; three newlines and more become two."""
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.trim(x).rlike(pattern)), "\n")
@@ -70,7 +120,7 @@ def without_lines(text: Column, pattern: str) -> Column:
 
 
 def slug(title: Column, default: str = "bhajan", most: int = 80) -> Column:
-    """A title as a file name: no reserved characters, blanks as single hyphens, at most 80 characters."""
+    """A title (composed, see nfc) as a file name: no reserved characters, blanks as single hyphens, at most 80 characters."""
     x = F.regexp_replace(F.trim(title), r'[\\/:*?"<>|]', "")
     x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, f"{SPACE}+", "-"), "-+", "-"), "^-|-$", "")
     x = F.substring(x, 1, most)
@@ -126,6 +176,7 @@ def slug_differs(path: Column, title: Column) -> Column:
 _DIGIT = "[०-९0-9]"
 _MARKER = r"(?:\s*(\|\|\s*[^|]+\s*\|\|)|(\s*॥+))\s*$"
 _TAIL = rf"(?:(?:\s*\|\|\s*[^|]+\s*\|\||\s*॥+{_DIGIT}+॥*|\s*।\s*{_DIGIT}+\s*।?|\s*[।॥]\s*{_DIGIT}+\s*(?:टेर|तेर)?\s*[।॥]?)\s*)+$"
+_CUT_AFTER_MARK, _CUT_AT_BLANK = r"^(.+?॥)\s+.+?\.\.\.\s*$", r"\s+.+?\.\.\.\s*$"
 
 
 def without_verse_numbers(line: Column) -> Column:
@@ -146,7 +197,7 @@ def end_marker(line: Column) -> Column:
 
 
 def without_refrain_shorthand(line: Column) -> Column:
-    """The line without a repeat that ellipses cut short."""
+    """The line up to a repeat that ellipses cut short: up to a double mark before it or, without one, up to the first blank."""
     x = F.trim(line)
-    main = F.regexp_extract(x, r"^(.+?॥)\s+.+?\.\.\.\s*$", 1)
-    return F.when(~x.contains("..."), x).when(main != "", F.trim(main)).otherwise(F.trim(F.regexp_replace(x, r"\s+.+?\.\.\.\s*$", "")))
+    kept = F.coalesce(F.nullif(F.regexp_extract(x, _CUT_AFTER_MARK, 1), F.lit("")), F.regexp_replace(x, _CUT_AT_BLANK, ""))
+    return F.when(x.contains("..."), F.trim(kept)).otherwise(x)

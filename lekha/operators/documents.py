@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekha.functions import text as t
+from lekha.operators.listings import positions
 
 
 def cross_listings(docs: DataFrame, sections: DataFrame, also: str = "also_in") -> DataFrame:
@@ -31,11 +32,7 @@ def listing_counts(listings: DataFrame, sections: DataFrame) -> DataFrame:
 def global_ids(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc_id, number): 1, 2, ... over sections, then doc_id, by ranks in parts and the parts' prefix sums."""
     rows = docs.select("doc_id", F.col("lang").alias("section")).join(F.broadcast(sections), "section")
-    parts = rows.repartitionByRange("section_pos", "doc_id").withColumn("part", F.spark_partition_id())
-    local = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("section_pos", "doc_id")))
-    sizes = local.groupBy("part").agg(F.count("*").alias("k"))
-    before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))
-    return local.join(before, "part").select("doc_id", (F.col("before") + F.col("rank")).alias("number"))
+    return positions(rows, ["section_pos", "doc_id"]).select("doc_id", F.col("position").alias("number"))
 
 
 def verse_gaps(turns: DataFrame) -> DataFrame:

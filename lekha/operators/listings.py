@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lekha.plans.shared import written
+
 
 def positions(rows: DataFrame, keys: list[str | Column]) -> DataFrame:
     """rows with position 1, 2, ... in order of keys, by ranks in range parts and the parts' prefix sums.
 
     A hot section is spread over many parts; only one row a part meets in one task.
     """
-    parts = rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id())
+    # written first: both sides of the join below must see the same parts
+    parts = written(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "parts")
     local = parts.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
     sizes = local.groupBy("part").agg(F.count("*").alias("k"))
     before = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))

@@ -16,11 +16,11 @@ def token_offsets(docs: DataFrame, profile: str, least: int = 2) -> DataFrame:
     text has no row; doc_id is unique.
     """
     run = t.PROFILES[profile][0]
-    text = F.lower("text") if profile == "ascii" else F.col("text")
-    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(f"{run}|{run.replace('[', '[^', 1)}"), F.lit(0))).alias("pos", "piece"))
-    stop = F.sum(F.length("piece")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = pieces.withColumn("stop", stop).where(F.col("piece").rlike(f"^{run}$")).withColumn("word", t.clean_token(F.col("piece")))
-    return rows.where(F.length("word") >= least).select("doc_id", "word", (F.col("stop") - F.length("piece")).alias("start"), "stop")
+    rows = docs.select("doc_id", t.pieces(F.lower("text") if profile == "ascii" else F.col("text"), profile).alias("pieces"))
+    rows = rows.withColumn("before", t.prefix_sums(F.transform("pieces", lambda x: F.length(x))))
+    rows = rows.select("doc_id", F.explode(F.arrays_zip("pieces", "before")).alias("x")).select("doc_id", F.col("x.pieces").alias("piece"), F.col("x.before").cast("bigint").alias("start"))
+    rows = rows.where(F.col("piece").rlike(f"^{run}$")).withColumn("word", t.clean_token(F.col("piece")))
+    return rows.where(F.length("word") >= least).select("doc_id", "word", "start", (F.col("start") + F.length("piece")).alias("stop"))
 
 
 def first_references(occurrences: DataFrame, most: int = 8) -> DataFrame:

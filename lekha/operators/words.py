@@ -17,21 +17,30 @@ def occurrences(docs: DataFrame, profile: str, cleaned: bool = False) -> DataFra
     return docs.select("doc_id", F.col("lang").alias("section"), F.posexplode(words).alias("pos", "word"))
 
 
+def _composed(words: DataFrame, profile: str) -> DataFrame:
+    """Distinct words in composed form, clean again at the edges; ASCII words are composed as they are."""
+    return words if profile == "ascii" else words.withColumn("word", t.clean_token(t.nfc(F.col("word")))).where("length(word) >= 2")
+
+
 def word_counts(docs: DataFrame, profile: str, least: int = 1, cleaned: bool = False) -> DataFrame:
-    """(word, n, first_doc, first_pos): how often, and where a word is first seen."""
+    """(word, n, first_doc, first_pos): how often, and where a word is first seen. Cleaned words are composed (NFC) once they are distinct."""
     first = F.min(F.struct("doc_id", "pos"))
-    out = occurrences(docs, profile, cleaned).groupBy("word").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= least)
-    return out.select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").cast("bigint").alias("first_pos"))
+    out = occurrences(docs, profile, cleaned).groupBy("word").agg(F.count("*").alias("n"), first.alias("first"))
+    if cleaned and profile != "ascii":
+        out = _composed(out, profile).groupBy("word").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return out.where(F.col("n") >= least).select("word", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").cast("bigint").alias("first_pos"))
 
 
 def dictionary(docs: DataFrame, profile: str, sections: list[str] | None = None) -> DataFrame:
     rows = occurrences(docs, profile, cleaned=True)
-    return (rows.where(F.col("section").isin(sections)) if sections is not None else rows).select("word").distinct()
+    rows = (rows.where(F.col("section").isin(sections)) if sections is not None else rows).select("word").distinct()
+    return rows if profile == "ascii" else _composed(rows, profile).distinct()
 
 
 def vocabulary_sizes(docs: DataFrame, profile: str) -> DataFrame:
     """(section, n_words), and the whole with a null section; distinct first, so that each count is a plain sum."""
     pairs = occurrences(docs, profile, cleaned=True).select("section", "word").distinct()
+    pairs = pairs if profile == "ascii" else _composed(pairs, profile).distinct()
     return pairs.groupBy("section").agg(F.count("*").alias("n_words")).unionByName(pairs.select("word").distinct().agg(F.count("*").alias("n_words")).withColumn("section", F.lit(None).cast("string")))
 
 
@@ -87,17 +96,20 @@ def suggestions(unknown: DataFrame, counts: DataFrame, most: int = 8) -> DataFra
     return ranked.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("a").alias("word"), F.col("rank").cast("bigint").alias("rank"), F.col("b").alias("suggestion"), F.col("distance").cast("bigint").alias("distance"))
 
 
-def replaced_words(docs: DataFrame, mapping: DataFrame, profile: str) -> DataFrame:
-    """(doc_id, text, n_replaced) of the documents with words (whole runs) that mapping (word, canonical) rewrites.
+def replaced_words(docs: DataFrame, mapping: DataFrame, profile: str, cleaned: bool = False) -> DataFrame:
+    """(doc_id, text, n_replaced) of the documents with runs that mapping (word, canonical) rewrites.
 
-    Pieces meet the mapping in a join and are put together by place, so neither
-    the mapping nor a document's number of hits is bounded. doc_id is unique.
+    A run is looked up whole or, cleaned, by what is left without marks and digits
+    at its edges; it is replaced whole. Each document's distinct words meet the
+    mapping, and only documents with a hit are rewritten, by a map of their own
+    hits. doc_id is unique; a null text has no row.
     """
-    run = t.PROFILES[profile][0]
-    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"{run}|{run.replace('[', '[^', 1)}"), F.lit(0))).alias("pos", "word"))
-    rows = pieces.join(mapping, "word", "left").groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canonical", "word").alias("piece")))).alias("pieces"), F.count("canonical").alias("n_replaced"))
-    return rows.where("n_replaced > 0").select("doc_id", F.array_join(F.col("pieces.piece"), "").alias("text"), "n_replaced")
+    form = (lambda x: t.clean_token(x)) if cleaned else (lambda x: x)
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(t.PROFILES[profile][0]), F.lit(0)), form))).alias("word"))
+    hits = words.join(mapping.select("word", "canonical"), "word").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "canonical"))).alias("hits"))
+    rows = docs.select("doc_id", "text").join(hits, "doc_id").select("doc_id", "hits", t.pieces(F.col("text"), profile).alias("pieces"))
+    rows = rows.select("doc_id", "pieces", F.transform("pieces", lambda x: F.col("hits")[form(x)]).alias("new"))
+    return rows.select("doc_id", F.array_join(F.zip_with("pieces", "new", lambda x, y: F.coalesce(y, x)), "").alias("text"), F.size(F.filter("new", lambda x: x.isNotNull())).cast("bigint").alias("n_replaced"))
 
 
 def canonical_forms(counts: DataFrame, profile: str) -> DataFrame:
