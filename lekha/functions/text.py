@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Script profiles: the class of a token's characters, and the signs that a skeleton drops.
 PROFILES = {
@@ -29,12 +30,15 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """The composed form; null stays null. For distinct words and titles rather than whole texts."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+def nfc(text: Column) -> Column:
+    """The composed form; null stays null. For distinct words and titles rather than whole texts."""
+    return F.pandas_udf(_composed, StringType())(text)
+
+
 def prefix_sums(xs: Column, block: int = 256) -> Column:
     """Sums of the elements before each one; blocks keep the work near linear in the length."""
 

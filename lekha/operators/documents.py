@@ -7,20 +7,30 @@ from pyspark.sql import functions as F
 
 from lekha.functions import text as t
 from lekha.operators.listings import positions
+from lekha.plans.shared import written
 
 
-def cross_listings(docs: DataFrame, sections: DataFrame, also: str = "also_in") -> DataFrame:
-    """(section, doc_id, is_cross_listed): each document's own section, and the valid others that it names."""
+def cross_listings(docs: DataFrame, sections: DataFrame, also: str = "also_in", collector: str | None = None) -> DataFrame:
+    """(section, doc_id, is_cross_listed): each document's own section, and the valid others that it names.
+
+    A document of the section `collector` is also listed in the section whose title
+    its group_name is (sections then has titles). sections is a small table, one row
+    a section; it is left to the planner whether it is broadcast.
+    """
     own = docs.select(F.col("lang").alias("section"), "doc_id", F.lit(False).alias("is_cross_listed"))
     other = docs.select(F.explode(F.array_distinct(also)).alias("section"), "doc_id", "lang").where("section <> lang")
-    other = other.join(F.broadcast(sections.select("section")), "section", "left_semi")
+    other = other.join(sections.select("section"), "section", "left_semi").select("section", "doc_id")
+    if collector is not None:
+        named = docs.where((F.col("lang") == collector) & F.col("group_name").isNotNull()).select("doc_id", F.trim("group_name").alias("title"))
+        titled = sections.where(F.col("section") != collector).groupBy("title").agg(F.min_by("section", "section_pos").alias("section"))
+        other = other.unionByName(named.join(titled, "title").select("section", "doc_id")).distinct()
     return own.unionByName(other.select("section", "doc_id", F.lit(True).alias("is_cross_listed")))
 
 
 def invalid_listings(docs: DataFrame, sections: DataFrame, also: str = "also_in") -> DataFrame:
     """(section, doc_id) of the sections that documents name and that do not exist; a null list names none."""
     named = docs.select(F.explode(F.array_distinct(also)).alias("section"), "doc_id")
-    return named.join(F.broadcast(sections.select("section")), "section", "left_anti").select("section", "doc_id")
+    return named.join(sections.select("section"), "section", "left_anti").select("section", "doc_id")
 
 
 def listing_counts(listings: DataFrame, sections: DataFrame) -> DataFrame:
@@ -31,7 +41,7 @@ def listing_counts(listings: DataFrame, sections: DataFrame) -> DataFrame:
 
 def global_ids(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc_id, number): 1, 2, ... over sections, then doc_id, by ranks in parts and the parts' prefix sums."""
-    rows = docs.select("doc_id", F.col("lang").alias("section")).join(F.broadcast(sections), "section")
+    rows = docs.select("doc_id", F.col("lang").alias("section")).join(sections, "section")
     return positions(rows, ["section_pos", "doc_id"]).select("doc_id", F.col("position").alias("number"))
 
 
@@ -49,14 +59,40 @@ def coverage(turns: DataFrame) -> DataFrame:
         F.count_if(F.col("role") == "user").alias("verses"), F.count_if(F.col("role") == "assistant").alias("commentaries"), F.count_if(lacks).alias("missing"))
 
 
-def find_matches(docs: DataFrame, find: str, ignore_case: bool = False) -> DataFrame:
-    """(doc_id, n) of the documents that hold a literal."""
-    return docs.select("doc_id", t.occurrences(F.col("text"), find, ignore_case).alias("n")).where("n > 0")
+def _pattern(find: str, regex: bool, ignore_case: bool) -> str:
+    """A Java pattern; a regex that Java can't read is refused when the job is planned."""
+    if len(find) < 2:
+        raise ValueError("find needs two characters at least")
+    return ("(?iu)" if ignore_case else "") + (find if regex else "\\Q" + find.replace("\\E", "\\E\\\\E\\Q") + "\\E")
+
+
+def find_matches(docs: DataFrame, find: str, ignore_case: bool = False, regex: bool = False) -> DataFrame:
+    """(doc_id, n) of the documents that hold a literal, or match a regex."""
+    if not regex:
+        return docs.select("doc_id", t.occurrences(F.col("text"), find, ignore_case).alias("n")).where("n > 0")
+    return docs.select("doc_id", F.regexp_count("text", F.lit(_pattern(find, True, ignore_case))).cast("bigint").alias("n")).where("n > 0")
+
 
+def match_totals(matches: DataFrame, docs: DataFrame) -> DataFrame:
+    """(n_matches, n_docs, n_scanned) of matches (doc_id, n) in docs."""
+    found = matches.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_matches"), F.count("*").alias("n_docs")).withColumn("n_scanned", F.lit(None).cast("bigint"))
+    scanned = docs.agg(F.lit(None).cast("bigint").alias("n_matches"), F.lit(None).cast("bigint").alias("n_docs"), F.count("*").alias("n_scanned"))
+    return found.unionByName(scanned).agg(*(F.max(c).alias(c) for c in ("n_matches", "n_docs", "n_scanned")))
 
-def replaced(docs: DataFrame, find: str, by: str) -> DataFrame:
-    """(doc_id, text) of the documents that replacing a literal changes."""
-    return docs.select("doc_id", F.replace("text", F.lit(find), F.lit(by)).alias("new"), "text").where("new <> text").select("doc_id", F.col("new").alias("text"))
+
+def ranked_matches(matches: DataFrame) -> DataFrame:
+    """(rank, doc_id, n): most matches first, then the smaller doc_id, numbered without a single task."""
+    rows = matches.withColumn("less", -F.col("n"))
+    return positions(rows, ["less", "doc_id"]).select(F.col("position").alias("rank"), "doc_id", "n")
+
+
+def replaced(docs: DataFrame, find: str, by: str, ignore_case: bool = False, regex: bool = False) -> DataFrame:
+    """(doc_id, text) of the documents that replacing changes; `by` is literal, but for $1, $2, ... and $0 of a regex."""
+    if not regex and not ignore_case:
+        new = F.replace("text", F.lit(find), F.lit(by))
+    else:
+        new = F.regexp_replace("text", _pattern(find, regex, ignore_case), by if regex else by.replace("\\", "\\\\").replace("$", "\\$"))
+    return docs.select("doc_id", new.alias("new"), "text").where("new <> text").select("doc_id", F.col("new").alias("text"))
 
 
 def repaired_ends(docs: DataFrame) -> DataFrame:
@@ -75,29 +111,62 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line")).where("line <> ''")
 
 
-def _grams(line: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(line) - size + 1))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(line, i, F.lit(size))))
+#: Lines of about every so many documents tell which grams are rare; that only bears on the cost.
+RARITY_SAMPLE = 16
 
 
-def search(docs: DataFrame, queries: DataFrame, most: int = 15) -> DataFrame:
+def _grams(line: Column, size: int) -> Column:
+    """The distinct substrings of a size, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _probes(words: DataFrame, body: DataFrame) -> DataFrame:
+    """(query_id, gram): of each query the gram that is rarest in a sample of lines; of three letters, or a whole word where all are shorter."""
+    size = F.least(F.lit(3), F.max(F.length("word")).over(Window.partitionBy("query_id")))
+    of = words.withColumn("size", size).where(F.length("word") >= F.col("size"))
+    grams = None
+    for k in (1, 2, 3):
+        found = of.where(F.col("size") == k).select("query_id", F.explode(_grams(F.col("word"), k)).alias("gram"))
+        grams = found if grams is None else grams.union(found)
+    grams = written(grams.distinct(), "grams")
+    some = body.where(F.pmod(F.xxhash64("doc_id"), F.lit(RARITY_SAMPLE)) == 0)
+    wanted = grams.select("gram").distinct()
+    counts = some.select(F.explode(_grams(F.col("line"), 3)).alias("gram")).join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(counts, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), -F.length("gram"), "gram")).alias("gram"))
+    return written(rarest, "probes")
+
+
+def search(docs: DataFrame, queries: DataFrame, most: int | None = 15, titles: bool = False) -> DataFrame:
     """(query_id, rank, doc_id, line_no): documents one of whose lines holds every word of the query, in order of doc_id.
 
-    Lines and queries meet on the first three letters of the query's longest word
-    (on one or two where no word is longer); what meets is verified by containment.
-    A query without words has no row.
+    Words are substrings without regard to case; short ones count too. A query's
+    rarest gram finds the lines that may match, by their ids; these are verified
+    with all words. With titles, docs has a title, which is looked at as line -1. A
+    query without words has no row. most: None for all documents.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(F.split(t.search_form(F.col("query")), " "))).alias("word")).where("word <> ''")
-    n = words.groupBy("query_id").agg(F.count("*").alias("n_words"))
-    body = lines(docs).select("doc_id", "line_no", F.lower("line").alias("line"))
-    longest = words.groupBy("query_id").agg(F.max_by("word", F.struct(F.length("word"), "word")).alias("word"))
-    probes = longest.select("query_id", F.substring("word", 1, 3).alias("gram"), F.col("word").alias("probe"))
+    words = written(queries.select("query_id", F.explode(F.array_distinct(F.split(t.search_form(F.col("query")), " "))).alias("word")).where("word <> ''"), "words")
+    body = lines(docs)
+    if titles:
+        named = docs.select("doc_id", F.lit(-1).cast("bigint").alias("line_no"), F.trim(F.regexp_replace("title", r"\s+", " ")).alias("line")).where("line <> ''")
+        body = body.unionByName(named)
+    body = body.select("doc_id", "line_no", F.lower(F.regexp_replace("line", "[\u200c\u200d]", "")).alias("line"))
+    probes = _probes(words, body)
     met = None
     for size in [r.size for r in probes.select(F.length("gram").alias("size")).distinct().collect()] or [3]:  # at most three
+        of = probes.where(F.length("gram") == size)
         grams = body.select("doc_id", "line_no", "line", F.explode(_grams(F.col("line"), size)).alias("gram"))
-        found = grams.join(probes.where(F.length("gram") == size), "gram").where(F.col("line").contains(F.col("probe"))).select("query_id", "doc_id", "line_no", "line")
+        found = grams.join(of, "gram").select("query_id", "doc_id", "line_no", "line")
         met = found if met is None else met.union(found)
-    hits = met.join(words, "query_id").where(F.col("line").contains(F.col("word"))).groupBy("query_id", "doc_id", "line_no").agg(F.count("*").alias("k"))
-    full = hits.join(n, "query_id").where("k = n_words").groupBy("query_id", "doc_id").agg(F.min("line_no").alias("line_no"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
-    return full.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= most).select("query_id", "rank", "doc_id", "line_no")
+    every = words.groupBy("query_id").agg(F.collect_list("word").alias("words"))
+    full = met.join(every, "query_id").where(F.forall("words", lambda w: F.col("line").contains(w)))
+    full = full.groupBy("query_id", "doc_id").agg(F.min("line_no").alias("line_no"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).cast("bigint")
+    ranked = full.withColumn("rank", rank) if most is None else full.withColumn("rank", rank).where(F.col("rank") <= most)
+    return ranked.select("query_id", "rank", "doc_id", "line_no")
+
+
+def with_snippets(found: DataFrame, docs: DataFrame, most: int = 100) -> DataFrame:
+    """found (query_id, rank, doc_id, line_no) of a search with titles, with in_title and snippet: the first lyric line, cut; empty where the title matched."""
+    rows = found.join(docs.select("doc_id", F.split("text", "\n").alias("lines")), "doc_id")
+    line = F.when(F.col("line_no") >= 0, F.get("lines", F.col("line_no").cast("int"))).otherwise("")
+    return rows.select("query_id", "rank", "doc_id", (F.col("line_no") < 0).alias("in_title"), t.snippet(line, most).alias("snippet"))

@@ -21,14 +21,22 @@ def positions(rows: DataFrame, keys: list[str | Column]) -> DataFrame:
     return local.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("place")).drop("part", "place", "before")
 
 
-def display_order(docs: DataFrame, sections: DataFrame) -> DataFrame:
+def key_of(title: Column, collation: str | None) -> Column:
+    """What titles are sorted by: their code points, or a collation (hi); null counts as empty."""
+    title = F.coalesce(title, F.lit(""))
+    return title if collation is None else F.collate(title, collation)
+
+
+def display_order(docs: DataFrame, sections: DataFrame, collation: str | None = None, keep_groups: bool = False) -> DataFrame:
     """(section, doc_id, number): a section's documents by title, or by doc_id where its sort is 'file'.
 
     docs has doc_id, section, title; sections has section_pos, section, sort. A
-    null title counts as empty; ties go to the smaller doc_id.
+    null title counts as empty; ties go to the smaller doc_id. A grouped section
+    keeps the order of files where keep_groups. collation: as in key_of.
     """
-    rows = docs.join(F.broadcast(sections), "section").select(
-        "section", "section_pos", "doc_id", F.when(F.col("sort") == "file", "").otherwise(F.coalesce("title", F.lit(""))).alias("key"))
+    by_file = (F.col("sort") == "file") | (F.coalesce("grouped", F.lit(False)) if keep_groups else F.lit(False))
+    rows = docs.join(sections, "section").select(
+        "section", "section_pos", "doc_id", key_of(F.when(~by_file, F.col("title")), collation).alias("key"))
     placed = positions(rows, ["section_pos", "key", "doc_id"])
     first = placed.groupBy("section").agg(F.min("position").alias("first"))
     return placed.join(F.broadcast(first), "section").select("section", "doc_id", (F.col("position") - F.col("first") + 1).alias("number"))
@@ -42,23 +50,23 @@ def neighbours(numbered: DataFrame) -> DataFrame:
     return numbered.join(before, ["section", "number"], "left").join(after, ["section", "number"], "left").select("section", "doc_id", "number", "prev_id", "next_id")
 
 
-def master_index(docs: DataFrame, sections: DataFrame) -> DataFrame:
+def master_index(docs: DataFrame, sections: DataFrame, collation: str | None = None) -> DataFrame:
     """(doc_id, number) over the documents of sections that count, by title, then doc_id."""
     counted = sections.where(~F.coalesce("excluded", F.lit(False))).select("section")
-    rows = docs.join(F.broadcast(counted), "section", "left_semi").select("doc_id", F.coalesce("title", F.lit("")).alias("key"))
+    rows = docs.join(counted, "section", "left_semi").select("doc_id", key_of(F.col("title"), collation).alias("key"))
     return positions(rows, ["key", "doc_id"]).select("doc_id", F.col("position").alias("number"))
 
 
 def unique_documents(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """(n): documents of the sections that count."""
     counted = sections.where(~F.coalesce("excluded", F.lit(False))).select("section")
-    return docs.join(F.broadcast(counted), "section", "left_semi").agg(F.count("*").alias("n"))
+    return docs.join(counted, "section", "left_semi").agg(F.count("*").alias("n"))
 
 
 def groups(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """(section, group_name): distinct groups of the grouped sections."""
     grouped = sections.where("grouped").select("section")
-    return docs.join(F.broadcast(grouped), "section", "left_semi").where("group_name is not null").select("section", "group_name").distinct()
+    return docs.join(grouped, "section", "left_semi").where("group_name is not null").select("section", "group_name").distinct()
 
 
 def verse_numbers(turns: DataFrame, spoken: str = "जबानी") -> DataFrame:
@@ -67,3 +75,38 @@ def verse_numbers(turns: DataFrame, spoken: str = "जबानी") -> DataFram
     flag = F.when(F.coalesce(counts, F.lit(False)), 1).otherwise(0)
     run = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return turns.withColumn("flag", flag).withColumn("number", F.sum("flag").over(run)).where("flag = 1").select("conv_id", "turn", "number")
+
+
+def listing_numbers(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """(section, doc_id, anchor, label): the place in display order, and the number shown.
+
+    Where a section uses groups (it is grouped, or a document has one), labels run
+    over the groups in the order in which they are first seen, by title within, and
+    documents without a group have none; elsewhere the label is the anchor's number.
+    """
+    anchors = display_order(docs, sections, keep_groups=True).withColumnRenamed("number", "anchor")
+    used = docs.join(sections, "section").groupBy("section").agg((F.max(F.coalesce("grouped", F.lit(False))) | F.coalesce(F.max(F.col("group_name").isNotNull()), F.lit(False))).alias("uses"))
+    rows = docs.join(sections.select("section", "section_pos", "sort"), "section").where("group_name is not null")
+    first = rows.groupBy("section", "group_name").agg(F.min("doc_id").alias("seen"))
+    keyed = rows.join(first, ["section", "group_name"]).select("section", "section_pos", "doc_id", "seen", key_of(F.when(F.col("sort") != "file", F.col("title")), None).alias("key"))
+    placed = positions(keyed, ["section_pos", "seen", "key", "doc_id"])
+    start = placed.groupBy("section").agg(F.min("position").alias("start"))
+    labels = placed.join(start, "section").select("section", "doc_id", (F.col("position") - F.col("start") + 1).alias("in_groups"))
+    out = anchors.join(used, "section").join(labels, ["section", "doc_id"], "left")
+    return out.select("section", "doc_id", "anchor", F.when(F.col("uses"), F.col("in_groups")).otherwise(F.col("anchor")).alias("label"))
+
+
+def verse_group_numbers(turns: DataFrame, spoken: str = "जबानी") -> DataFrame:
+    """(conv_id, turn, pos, number) of the groups of lines (between blank ones) of verses, numbered on in each document.
+
+    Commentary, blank and spoken items are left out; a group that ends in a refrain
+    line (cut by ellipses) has no number and counts for none.
+    """
+    split = F.filter(F.transform(F.split("text", r"\n[^\S\n]*\n\s*"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    verse = (F.col("role") == "user") & ~F.trim("text").rlike(rf"^{spoken}\s*[-–—:：]")
+    rows = turns.where(F.coalesce(verse, F.lit(False))).select("conv_id", "turn", F.posexplode(split).alias("pos", "group"))
+    last = F.trim(F.element_at(F.split("group", r"\n"), -1))
+    refrain = ~last.contains("....") & (last.rlike(r"\.\.\.\s*॥?\s*$") | (last.endswith("..") & (F.length(last) < 48)))
+    flag = F.when(refrain, 0).otherwise(1)
+    run = Window.partitionBy("conv_id").orderBy("turn", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("flag", flag).withColumn("number", F.sum("flag").over(run)).select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), F.when(F.col("flag") == 1, F.col("number")).alias("number"))

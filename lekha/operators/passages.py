@@ -74,10 +74,10 @@ def paragraphs(texts: DataFrame, key: str) -> DataFrame:
 
 def group_order(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """(section, doc_id, number): groups in the order in which they are first seen, then by title, then doc_id; documents without a group go last."""
-    rows = docs.join(F.broadcast(sections.where("grouped").select("section", "section_pos")), "section")
+    rows = docs.join(sections.where("grouped").select("section", "section_pos"), "section")
     first = rows.where("group_name is not null").groupBy("section", "group_name").agg(F.min("doc_id").alias("seen"))
     keyed = rows.join(first, ["section", "group_name"], "left").select(
         "section", "section_pos", "doc_id", F.col("seen").isNull().alias("loose"), F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("title", F.lit("")).alias("key"))
     placed = positions(keyed, ["section_pos", "loose", "seen", "key", "doc_id"])
     start = placed.groupBy("section").agg(F.min("position").alias("start"))
-    return placed.join(F.broadcast(start), "section").select("section", "doc_id", (F.col("position") - F.col("start") + 1).alias("number"))
+    return placed.join(start, "section").select("section", "doc_id", (F.col("position") - F.col("start") + 1).alias("number"))

@@ -52,29 +52,50 @@ def variant_pairs(words: DataFrame) -> DataFrame:
 
 def skeleton_pairs(words: DataFrame, profile: str) -> DataFrame:
     """(a, b): each word and the least one with its skeleton."""
-    rows = words.select("word", t.skeleton(F.col("word"), profile).alias("skeleton")).where("skeleton <> ''")
+    rows = words.select("word", t.skeleton(F.col("word"), profile).alias("skeleton"))
     least = rows.groupBy("skeleton").agg(F.min("word").alias("a"), F.count("*").alias("n")).where("n > 1")
     return rows.join(least, "skeleton").where("word <> a").select("a", F.col("word").alias("b"))
 
 
+def clustered_words(counts: DataFrame, profile: str) -> DataFrame:
+    """(component, word, n, first_doc, first_pos) of the words that variants join; one without a skeleton is joined by edits, and with its like."""
+    edges = variant_pairs(counts).select("a", "b").union(skeleton_pairs(counts, profile))
+    return connected_components(edges, "a", "b").withColumnRenamed("node", "word").join(counts, "word")
+
+
+def _clusters(rows: DataFrame, profile: str, least_total: int) -> DataFrame:
+    rank = F.struct(-F.col("n"), "first_doc", "first_pos")
+    found = rows.groupBy("component").agg(F.min_by("word", rank).alias("canonical"), F.sum("n").alias("total"), F.count("*").alias("n_forms"), F.collect_list("word").alias("forms"))
+    return found.where((F.col("total") >= least_total) & (F.col("n_forms") > 1)).select(
+        "component", t.cluster_id(F.col("forms")).alias("id"), "canonical", "total", "n_forms", t.skeleton(F.col("canonical"), profile).alias("skeleton"))
+
+
 def variant_clusters(counts: DataFrame, profile: str, least_total: int = 4) -> DataFrame:
     """(id, canonical, total, n_forms, skeleton) of words that variants join.
 
-    The canonical form is the most frequent; ties go to the one seen first.
+    The canonical form is the most frequent; ties go to the one seen first. An id
+    is a digest of all forms in order, so these meet in one row.
     """
-    edges = variant_pairs(counts).select("a", "b").union(skeleton_pairs(counts, profile))
-    found = connected_components(edges, "a", "b").withColumnRenamed("node", "word")
-    rank = F.struct(-F.col("n"), "first_doc", "first_pos")
-    rows = found.join(counts, "word").groupBy("component").agg(
-        F.min_by("word", rank).alias("canonical"), F.sum("n").alias("total"), F.count("*").alias("n_forms"), F.collect_list("word").alias("forms"))
-    return rows.where((F.col("total") >= least_total) & (F.col("n_forms") > 1)).select(
-        t.cluster_id(F.col("forms")).alias("id"), "canonical", "total", "n_forms", t.skeleton(F.col("canonical"), profile).alias("skeleton"))
+    return _clusters(clustered_words(counts, profile), profile, least_total).drop("component")
 
 
-def unknown_words(docs: DataFrame, trusted: DataFrame, profile: str) -> DataFrame:
-    """(word, n, n_docs) of the words of docs that trusted (word) lacks; words are looked up once each."""
+def cluster_variants(counts: DataFrame, profile: str, least_total: int = 4) -> DataFrame:
+    """(id, total, form, n, first_doc): the forms of each cluster, a row each, with where they are first seen."""
+    rows = written(clustered_words(counts, profile), "clustered")
+    return rows.join(_clusters(rows, profile, least_total).select("component", "id", "total"), "component").select("id", "total", F.col("word").alias("form"), "n", "first_doc")
+
+
+def unknown_words(docs: DataFrame, trusted: DataFrame, profile: str, allowed: DataFrame | None = None) -> DataFrame:
+    """(word, n, n_docs) of the words of docs that trusted (word) lacks; words are looked up once each.
+
+    allowed (word): allow, ignore and custom lists together. Words of digits alone
+    are never unknown.
+    """
     counts = occurrences(docs, profile, cleaned=True).groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
-    return counts.join(trusted, "word", "left_anti")
+    if profile != "ascii":
+        counts = _composed(counts, profile).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    known = trusted.select("word") if allowed is None else trusted.select("word").unionByName(allowed.select("word"))
+    return counts.where(~F.col("word").rlike("^[0-9०-९]+$")).join(known, "word", "left_anti")
 
 
 def suggestions(unknown: DataFrame, counts: DataFrame, most: int = 8) -> DataFrame:
@@ -117,3 +138,52 @@ def canonical_forms(counts: DataFrame, profile: str) -> DataFrame:
     rows = counts.select("word", "n", t.skeleton(F.col("word"), profile).alias("skeleton")).where("skeleton <> ''")
     best = rows.groupBy("skeleton").agg(F.min_by("word", F.struct(-F.col("n"), "word")).alias("canonical"))
     return rows.join(best, "skeleton").where("word <> canonical").select("word", "canonical")
+
+
+def flagged_fields(fields: DataFrame, trusted: DataFrame, profile: str) -> DataFrame:
+    """(path, field, word, n) of the unknown words of fields (path, field, text), by field."""
+    words = fields.select("path", "field", F.explode(t.clean_tokens(F.col("text"), profile)).alias("word"))
+    return words.groupBy("path", "field", "word").agg(F.count("*").alias("n")).where(~F.col("word").rlike("^[0-9०-९]+$")).join(trusted.select("word"), "word", "left_anti").select("path", "field", "word", "n")
+
+
+def unknown_clusters(flagged: DataFrame, suggested: DataFrame | None = None) -> DataFrame:
+    """(word, total, path, field, n): where each unknown word stands, and how often in all.
+
+    With suggested (word, suggestion, rank), only words with a suggestion are
+    reported, as others are names or new. Rows stay long, so that a word that
+    stands everywhere is no single row.
+    """
+    totals = flagged.groupBy("word").agg(F.sum("n").alias("total"))
+    totals = totals if suggested is None else totals.join(suggested.select("word").distinct(), "word", "left_semi")
+    return flagged.join(totals, "word").select("word", "total", "path", "field", "n")
+
+
+def field_issues(flagged: DataFrame) -> DataFrame:
+    """(path, n): distinct unknown words of each field, summed over the document."""
+    return flagged.groupBy("path").agg(F.count("*").alias("n"))
+
+
+def skeleton_clusters(counts: DataFrame, profile: str) -> DataFrame:
+    """(id, canonical, forms) of words (word, n) that share a skeleton; the canonical form is the most frequent, then the smaller."""
+    rows = counts.select("word", "n", t.skeleton(F.col("word"), profile).alias("skeleton")).where("skeleton <> ''")
+    forms = rows.groupBy("skeleton").agg(F.min_by("word", F.struct(-F.col("n"), "word")).alias("canonical"), F.array_sort(F.collect_list("word")).alias("forms")).where(F.size("forms") > 1)
+    return forms.select(t.cluster_id(F.col("forms")).alias("id"), "canonical", "forms")
+
+
+def default_decisions(clusters: DataFrame) -> DataFrame:
+    """(id, action, canonical, replace, forms): every cluster (id, canonical, forms) is ignored until decided."""
+    return clusters.select("id", F.lit("ignore").alias("action"), "canonical", F.filter("forms", lambda x: x != F.col("canonical")).alias("replace"), "forms")
+
+
+def applied_decisions(docs: DataFrame, decisions: DataFrame, profile: str) -> DataFrame:
+    """(doc_id, text, n_replaced) of the documents that decisions (action, canonical, replace) to fix change: whole runs, as they stand."""
+    pairs = decisions.where("action = 'fix'").select("canonical", F.explode("replace").alias("word")).where("word <> canonical").groupBy("word").agg(F.min("canonical").alias("canonical"))
+    return replaced_words(docs, pairs, profile)
+
+
+def decision_hits(docs: DataFrame, decisions: DataFrame, profile: str) -> DataFrame:
+    """(id, word, canonical, n_docs): in how many documents each pair to fix has a hit; pairs without one are left out."""
+    pairs = decisions.where("action = 'fix'").select("id", "canonical", F.explode("replace").alias("word")).where("word <> canonical")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(t.PROFILES[profile][0]), F.lit(0)))).alias("word"))
+    n = words.groupBy("word").agg(F.count("*").alias("n_docs"))
+    return pairs.join(n, "word").select("id", "word", "canonical", "n_docs")

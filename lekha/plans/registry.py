@@ -157,7 +157,7 @@ SQL = {
         WHERE levenshtein(x.word, y.word) <= CASE WHEN least(length(x.word), length(y.word)) <= 4 THEN 1 ELSE 2 END""",
     "variant_clusters": f"""WITH RECURSIVE {_TOKENS}, {_COUNTS.format(least=20)}, k AS (SELECT *, regexp_replace(word, '[aeiou]', '', 'g') AS skeleton FROM c WHERE length(word) >= 7),
         e AS (SELECT x.word AS a, y.word AS b FROM k x JOIN k y ON x.word <> y.word AND abs(length(x.word) - length(y.word)) <= 2 AND levenshtein(x.word, y.word) <= 2
-            UNION SELECT x.word, y.word FROM k x JOIN k y ON x.skeleton = y.skeleton AND x.word <> y.word AND x.skeleton <> ''),
+            UNION SELECT x.word, y.word FROM k x JOIN k y ON x.skeleton = y.skeleton AND x.word <> y.word),
         r AS (SELECT a AS word, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.word),
         m AS (SELECT word, min(root) AS root FROM r GROUP BY word)
         SELECT substr(md5(array_to_string(list_sort(list(word)), '|')), 1, 12) AS id, arg_min(word, struct_pack(n := -n, d := first.d, p := first.p)) AS canonical, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_forms,
