@@ -95,6 +95,17 @@ def replaced(docs: DataFrame, find: str, by: str, ignore_case: bool = False, reg
     return docs.select("doc_id", new.alias("new"), "text").where("new <> text").select("doc_id", F.col("new").alias("text"))
 
 
+def only(docs: DataFrame, paths: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents that paths names; repeated names count once."""
+    return docs.join(paths.select(key), key, "left_semi")
+
+
+def changed_count(before: DataFrame, changed: DataFrame) -> DataFrame:
+    """(n_changed, n): how many documents a repair changed, of how many."""
+    n = before.agg(F.lit(0).cast("bigint").alias("n_changed"), F.count("*").alias("n"))
+    return n.unionByName(changed.agg(F.count("*").alias("n_changed"), F.lit(0).cast("bigint").alias("n"))).agg(F.max("n_changed").alias("n_changed"), F.max("n").alias("n"))
+
+
 def repaired_ends(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents whose line ends change."""
     return docs.select("doc_id", t.line_ends(F.col("text")).alias("new"), "text").where("new <> text").select("doc_id", F.col("new").alias("text"))

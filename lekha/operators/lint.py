@@ -39,6 +39,14 @@ def issues(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return docs.where(text.isNotNull()).select("doc_id", F.explode(F.filter(found, lambda x: x.n_hits > 0)).alias("x")).select("doc_id", "x.*")
 
 
+def details(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(doc_id, rule_id, hits, before, after): what each rule finds, in order, and the text it would leave; after is null where it changes nothing."""
+    text = F.col("text")
+    found = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.regexp_extract_all(text, F.lit(r.detect), F.lit(0)).alias("hits"), F.when(r.fix(text) != text, r.fix(text)).alias("after")) for r in rules))
+    rows = docs.where(text.isNotNull()).select("doc_id", text.alias("before"), F.explode(F.filter(found, lambda x: F.size(x.hits) > 0)).alias("x"))
+    return rows.select("doc_id", "x.rule_id", "x.hits", "before", "x.after")
+
+
 def summary(found: DataFrame) -> DataFrame:
     """(rule_id, n_docs, n_hits) by rule."""
     return found.groupBy("rule_id").agg(F.count("*").alias("n_docs"), F.sum("n_hits").alias("n_hits"))
