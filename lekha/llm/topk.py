@@ -35,35 +35,36 @@ class Lists:
 
     def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best rows but the query's own, ties to the smaller id."""
+        ids, scores, _ = self.search(q, own, k)
+        return ids, scores
+
+    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
+        """As top; and which part of the lists' entries was read, and of the rows scored, until the bound or the lists' ends stopped it."""
         n, d = self.x.shape
         q = q.astype(self.kind)
         high = q > 0
         used = np.flatnonzero(q)
-        seen = np.zeros(n, bool)
         score = np.empty(n, self.kind)
-        depth = DEPTH
+        seen = np.zeros(n, bool)
+        depth = 0
         while True:
-            depth = min(depth, n)
+            last, depth = depth, min(n, DEPTH if not depth else 2 * depth)
             if not seen.all():
-                if depth * max(1, len(used)) >= n:  # about all rows come up: the lists are read to their ends
-                    new, depth = np.flatnonzero(~seen), n
-                else:
-                    at = np.concatenate([self.order[n - depth :, used[high[used]]].ravel(), self.order[:depth, used[~high[used]]].ravel()])
-                    fresh = np.zeros(n, bool)
-                    fresh[at] = True
-                    new = np.flatnonzero(fresh & ~seen)
-                score[new] = self.x[new] @ q if len(new) < n else self.x @ q
+                at = np.concatenate([self.order[n - depth : n - last, used[high[used]]].ravel(), self.order[last:depth, used[~high[used]]].ravel()])
+                fresh = np.zeros(n, bool)
+                fresh[at] = True
+                new = np.flatnonzero(fresh & ~seen if depth < n else ~seen)
+                score[new] = self.x[new] @ q
                 seen[new] = True
             found = np.flatnonzero(seen & (self.ids != own))
             s = score[found]
             kth = np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else None
             ends = np.where(high, self.sorted[n - depth], self.sorted[depth - 1])
-            if depth >= n or (kth is not None and kth > ends @ q):
+            if depth >= n or seen.all() or (kth is not None and kth > ends @ q):
                 if kth is not None:
                     found, s = found[s >= kth], s[s >= kth]
                 best = np.lexsort((self.ids[found], -s))[:k]
-                return self.ids[found[best]], s[best].astype(np.int64)
-            depth *= 4
+                return self.ids[found[best]], s[best].astype(np.int64), (depth / n, float(seen.mean()))
 
 
 def _search(k: int):
@@ -88,9 +89,9 @@ def _search(k: int):
 
 
 def quantised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """vec_id and v = floor(64 * x) of the vectors without null or non-finite components."""
+    """vec_id and v = floor(64 * x) of the vectors with an id and without null or non-finite components."""
     ok = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col(column).isNotNull() & F.coalesce(ok, F.lit(False)))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull() & F.coalesce(ok, F.lit(False)))
     return rows.select("vec_id", F.transform(column, lambda x: F.floor(x.cast("double") * 64).cast("bigint")).alias("v"))
 
 
