@@ -135,13 +135,14 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK, prints: DataFrame | None =
     Texts are equal when their normal forms are; of equal ones the smallest
     doc_id stays. A null text counts as empty, and empty texts equal each other.
     Rows that repeat a doc_id count each; those with its kept text are all kept,
-    as ids are what is kept. doc_id must not be null; other columns may have any
-    name and are not read. An empty table gives an empty result.
+    as ids are what is kept. Rows without a doc_id are left out. Other columns may
+    have any name and are not read. An empty table gives an empty result.
 
     prints: fingerprints() by default, or a table like it (tests pass one that
     collides). Only ids and fingerprints are shuffled for all documents, and
     texts only for the comparison within groups.
     """
+    docs = docs.where("doc_id is not null")
     todo = written(prints if prints is not None else fingerprints(docs, chunk), "prints")
     same, done = ["doc_id", "text_sha256"], None
     while True:

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lekha.functions.text import prefix_sums
 from lekha.plans.shared import written
 
 BASE = ("email", "ip", "card", "phone")
@@ -66,20 +67,6 @@ ACCEPT = 0.9
 VOTES = ("check", "gazetteer", "context", "variety")
 
 
-def prefix_sums(xs: Column, block: int = 256) -> Column:
-    """Sums of the elements before each one; blocks keep the work near linear in the length."""
-
-    def plain(ys: Column) -> Column:
-        start = F.struct(F.lit(0).cast("int").alias("s"), F.array().cast("array<int>").alias("a"))
-        return F.aggregate(ys, start, lambda acc, y: F.struct((acc.s + y).alias("s"), F.concat(acc.a, F.array(acc.s)).alias("a")), lambda acc: acc.a)
-
-    n = F.ceil(F.size(xs) / block).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
-    starts = plain(F.transform(blocks, lambda ys: F.aggregate(ys, F.lit(0), lambda s, y: s + y)))
-    whole = F.flatten(F.zip_with(blocks, starts, lambda ys, s: F.transform(plain(ys), lambda p: p + s)))
-    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).when(F.size(xs) <= block, plain(xs)).otherwise(whole)
-
-
 def matches(text: Column, pattern: str) -> Column:
     """start, end (code points, end exclusive) and text of the leftmost non-overlapping matches, and up to BEFORE characters between the last match and each."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

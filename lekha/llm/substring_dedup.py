@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekha.llm.batches import slabs, text_bytes
+from lekha.llm.ids import by_row
 from lekha.llm.ngram_join import mix
-from lekha.plans.shared import written
+from lekha.plans.shared import join_groups, written
 
 WINDOW, GRAM = 100, 50
 SPAN = WINDOW - GRAM
@@ -343,22 +344,27 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     Each byte covered by a 100-byte string that also starts earlier (in a smaller
     doc_id, or before in the same text) goes. A null text is empty; texts shorter
     than 100 bytes stay as they are. A whole copy of an earlier text of 100 bytes
-    or more goes entirely and takes no part in the rest. doc_id must be unique
-    and not null; other columns are not read; an empty table gives an empty result.
+    or more goes entirely and takes no part in the rest. Rows without a doc_id are
+    left out; of rows that repeat one, that with the smaller digest of its text
+    counts as earlier. Other columns are not read; an empty table gives an empty result.
     """
-    rows = docs.select("doc_id", "text")
+    return by_row(docs, lambda rows: _removed_from(rows, hot))
+
+
+def _removed_from(rows: DataFrame, hot: int) -> DataFrame:
     facts = written(rows.mapInArrow(_facts, "doc_id bigint, n_bytes bigint, sha string"), "facts")
-    heads = facts.where(F.col("n_bytes") >= WINDOW).groupBy("n_bytes", "sha").agg(F.min("doc_id").alias("head"), F.count("*").alias("k")).where("k > 1")
-    copies = written(facts.join(heads.select("n_bytes", "sha", "head"), ["n_bytes", "sha"]).where("doc_id <> head").select("doc_id"), "copies")
+    heads = written(facts.where(F.col("n_bytes") >= WINDOW).groupBy("n_bytes", "sha").agg(F.min("doc_id").alias("head"), F.count("*").alias("k")).where("k > 1"), "heads")
+    copies = written(join_groups(facts, heads, ["n_bytes", "sha"], "k", facts.count()).where("doc_id <> head").select("doc_id"), "copies")
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // (26 * BUCKET)))
     index = rows.mapInArrow(_index(buckets), "bucket bigint, blob binary, doc_id bigint, places array<bigint>")
-    places = index.groupBy("bucket").applyInArrow(_repeated, "doc_id bigint, place bigint")
+    places = index.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "doc_id bigint, place bigint")
     places = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     chosen = written(rows.join(copies, "doc_id", "left_anti").join(places, "doc_id"), "chosen")
     n = chosen.agg(F.sum(F.size("places"))).first()[0] or 0
     contexts = written(chosen.mapInArrow(_contexts, "doc_id bigint, place bigint, near bigint, far bigint, key bigint, bytes binary, bits bigint"), "contexts")
-    marks = dealt(contexts, max(1, -(-n // PART)), hot).groupBy("part").applyInArrow(_mark, "doc_id bigint, place bigint, bits bigint")
+    parts = max(1, -(-n // PART))
+    marks = dealt(contexts, parts, hot).repartition(2 * parts, "part").groupBy("part").applyInArrow(_mark, "doc_id bigint, place bigint, bits bigint")
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bits")).alias("marks"))
     gone = chosen.select("doc_id", "text").join(marks, "doc_id").mapInArrow(_removed, "doc_id bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     out = facts.join(gone, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
