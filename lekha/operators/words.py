@@ -45,9 +45,12 @@ def vocabulary_sizes(docs: DataFrame, profile: str) -> DataFrame:
 
 
 def variant_pairs(words: DataFrame) -> DataFrame:
-    """(a, b, distance), a < b, of words within the variants' bound."""
-    found = near_words(words, words, 2).where("a < b")
-    return found.where(F.col("distance") <= t.variant_bound(F.length("a"), F.length("b")))
+    """(a, b, distance), a < b, of words within the variants' bound: two edits where both have five letters or more, else one."""
+    words = written(words.select("word"), "words")
+    longer = words.where(F.length("word") > 4)
+    two = near_words(longer, longer, 2).where("a < b")
+    one = near_words(words, words, 1).where("a < b").where(F.least(F.length("a"), F.length("b")) <= 4)
+    return two.unionByName(one)
 
 
 def skeleton_pairs(words: DataFrame, profile: str) -> DataFrame:

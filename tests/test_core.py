@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lekha.functions import text as t
 from lekha.operators.fuzzy import near_words
 from lekha.operators.graph import connected_components
-from lekha.operators import documents, lint, passages
+from lekha.operators import documents, fuzzy, lint, passages
 from lekha.operators import words as w
-from lekha.plans import publishing, reading, registry
+from lekha.plans import correction, modelling, publishing, reading, registry
 from lekha.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -48,8 +48,9 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("most", [1, 2, 3])
-def test_near_words_equal_brute_force(spark, most):
+@pytest.mark.parametrize(("most", "longest"), [(1, 20), (2, 20), (3, 20), (1, 4), (2, 5)])
+def test_near_words_equal_brute_force(spark, most, longest, monkeypatch):
+    monkeypatch.setattr(fuzzy, "LONGEST", longest)  # words beyond it go by segments
     r = random.Random(most)
     words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 8))) for _ in range(120)})
     df = spark.createDataFrame([(w,) for w in words], "word string")
@@ -76,15 +77,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted({**registry.SQL, **publishing.SQL, **reading.SQL}))
+PLANS = (registry, publishing, reading, modelling, correction)
+QUERIES, SQL = ({k: v for p in PLANS for k, v in getattr(p, n).items()} for n in ("QUERIES", "SQL"))
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "labels", "conversations", "benchmark", "events"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
-    df = {**registry.QUERIES, **publishing.QUERIES, **reading.QUERIES}[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted([tuple(r) for r in df.select(columns).collect()], key=repr)
-    want = con.sql(f"select {', '.join(columns)} from ({ {**registry.SQL, **publishing.SQL, **reading.SQL}[name] })").fetchall()
+    want = con.sql(f"select {', '.join(columns)} from ({SQL[name]})").fetchall()
     assert got == sorted(want, key=repr)
 
 
@@ -160,7 +165,7 @@ def test_whole_variant_queries_equal_brute_force(spark, tmp_path):
     pairs = {(a, b, d) for a in n for b in n if a < b and (d := distance(a, b)) <= (1 if min(len(a), len(b)) <= 4 else 2)}
     assert pairs and {tuple(x) for x in registry.variant_pairs_whole(spark, str(tmp_path)).collect()} == pairs
     group = {x: {x} for x in n}
-    for a, b in [p[:2] for p in pairs] + [(a, b) for a in n for b in n if a < b and bare[a] == bare[b] != ""]:
+    for a, b in [p[:2] for p in pairs] + [(a, b) for a in n for b in n if a < b and bare[a] == bare[b]]:
         if group[a] is not group[b]:
             group[a] |= group[b]
             for x in group[a]:
