@@ -13,11 +13,12 @@ Equal sets are one class, which its smallest doc_id stands for. In each bucket
 of the index all pairs meet, unless the bucket is hot: then its first document
 meets the others. Pairs of buckets that are not hot must pass a bound on the
 difference of two small bitmaps. What the pairs join is a cloud, and within a
-cloud all sets are compared, block by block.
+cloud all sets of near sizes are compared, block by block.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +34,8 @@ from lekha.plans.shared import join_groups, written
 
 #: Sizes of a band: from l to l * RATIO.
 RATIO = 1.4
-#: Sets of a block, about, where blocks of a cloud meet.
-BLOCK = 500
+#: Sets of a block at most, about, where blocks of a cloud meet; a quarter of it while a cloud has fewer than SPREAD blocks.
+BLOCK, SPREAD = 500, 32
 #: Index entries of a bucket, about.
 BUCKET = 1_000_000
 #: A key of more documents than HOT, or of HOT_HERE among those that one step looks at, is hot.
@@ -430,8 +431,8 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80, block: int =
     as 64-bit hashes of their shingles: of a billion different shingles about one
     pair in 40 such collections has equal hashes.
 
-    In a cloud each two blocks meet once, so that links are exact: that is work in
-    the square of a cloud's classes, in tasks of two blocks at most.
+    In a cloud each two blocks of near sizes meet once, so that links are exact:
+    that is work in the square of a cloud's classes, in tasks of two blocks at most.
     """
     return by_row(docs, lambda rows: _joined(rows, words, percent, block), ("doc_id", "class_id", "component_id"))
 
@@ -457,16 +458,27 @@ def _joined(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     one, two = (small.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in ("u", "v"))
     near = met.where("not hot").join(one, "u").join(two, "v").mapInArrow(_near(percent), "u bigint, v bigint")
     clouds = connected_components(near.unionByName(met.where("hot").select("u", "v")))
-    blocks, own = F.ceil(F.col("k") / block), F.col("own")
-    clouds = written(clouds, "clouds")
-    sizes = written(clouds.groupBy("component").agg(F.count("*").alias("k")), "sizes")
-    placed = join_groups(clouds, sizes, ["component"], "k", clouds.count()).select(F.col("node").alias("doc_id"), F.col("component").alias("cloud"), "k", F.pmod(F.xxhash64("node"), blocks).alias("own"))
-    # each two blocks of a cloud meet once, and each block meets itself
-    met = _with_sets(docs, placed, words).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    met = met.withColumns({"one": F.least(own, F.col("other")), "two": F.greatest(own, F.col("other"))})
+    clouds = written(clouds.select(F.col("node").alias("doc_id"), F.col("component").alias("cloud")), "clouds")
+    whole = written(clouds.groupBy("cloud").agg(F.count("*").alias("whole")), "whole")
+    clouds = join_groups(clouds, whole, ["cloud"], "whole", clouds.count())
+    # in a cloud of several blocks, sets of one size band or of bands side by side may link; each two of their blocks meet once, and each block meets itself
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.000001))
+    clouds = written(clouds.join(small.select("doc_id", "n"), "doc_id").select("doc_id", "cloud", F.when(F.col("whole") > block, band).otherwise(0).alias("band")), "banded")
+    sizes = written(clouds.groupBy("cloud", "band").agg(F.count("*").alias("k")), "sizes")
+    each = F.least(F.lit(block), F.greatest(F.lit(max(1, block // 4)), F.col("k") / SPREAD))
+    blocks = sizes.select("cloud", "band", "k", F.ceil(F.col("k") / each).alias("m"))
+    for name, step in (("before", 1), ("after", -1)):
+        blocks = blocks.join(blocks.select("cloud", (F.col("band") + step).alias("band"), F.col("m").alias(name)), ["cloud", "band"], "left")
+    code = lambda step, i: (F.col("band") + step) * (1 << 32) + i
+    of = lambda step, m: F.when(m > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), m - 1), lambda i: code(step, i))).otherwise(F.array().cast("array<bigint>"))
+    blocks = blocks.select("cloud", "band", "k", "m", F.concat(of(0, F.col("m")), of(-1, F.coalesce("before", F.lit(0))), of(1, F.coalesce("after", F.lit(0)))).alias("others"))
+    placed = join_groups(clouds, written(blocks, "blocks"), ["cloud", "band"], "k", clouds.count())
+    placed = placed.select("doc_id", "cloud", F.size("others").cast("bigint").alias("k"), code(0, F.pmod(F.xxhash64("doc_id"), F.col("m"))).alias("own"), F.explode("others").alias("other"))
+    placed = placed.select("doc_id", "cloud", "k", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    met = _with_sets(docs, placed, words)
     inside = written(met.groupBy("cloud", "one", "two").applyInArrow(_linked(percent), "k bigint, doc_id bigint, root bigint, links bigint"), "inside")
     found = inside.groupBy(F.col("doc_id").alias("class_id")).agg(F.min("root").alias("root"), F.sum("links").alias("links"))
-    large = inside.where(F.col("k") > block)
+    large = inside.where("k > 1")
     if not large.isEmpty():
         joined = connected_components(large.select(F.col("doc_id").alias("u"), F.col("root").alias("v")).distinct())
         found = found.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("component", "root"))

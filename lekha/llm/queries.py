@@ -65,6 +65,18 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS x FROM w),
+        d AS (SELECT doc_id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY x)) AS digest FROM s GROUP BY doc_id),
+        c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY digest) AS class_id FROM d),
+        h AS (SELECT s.doc_id, x, n FROM s JOIN c USING (doc_id) WHERE doc_id = class_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS k FROM h a JOIN h b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT u, v FROM p WHERE 100 * k >= 90 * (nu + nv - k)),
+        r AS (SELECT u AS node, u AS root FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node),
+        m AS (SELECT node, min(root) AS root FROM r GROUP BY node), l AS (SELECT u, count(*) AS links FROM e GROUP BY u)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, doc_id) AS class_id, coalesce(links, 0) AS links, coalesce(root, class_id, doc_id) AS component_id
+        FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN l ON l.u = class_id LEFT JOIN m ON m.node = class_id""",
     "op1_warc": """
         WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
         w AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM p)
