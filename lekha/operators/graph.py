@@ -44,16 +44,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "edges",
     )
-    mark = None
-    for _ in range(max_rounds):
-        n = now.count()
-        large = written(_large_star(now, n), "large_star")
-        now = written(_small_star(large, large.count()), "round")
+    n, mark = now.count(), None
+    for _ in range(max_rounds if n else 0):
+        # neither star makes more edges than it is given, so n bounds what the hubs of both are measured by
+        now = written(_small_star(written(_large_star(now, n), "large_star"), n), "round")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
-        mark = new
+        n, mark = new[0], new
     else:
-        raise RuntimeError("components did not settle")
+        if n:
+            raise RuntimeError("components did not settle")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
