@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 ROWS, QUERIES = 8192, 4096
 #: Entries of each list that a query reads first.
 DEPTH = 8
+#: So many list entries a row, read in all, are taken to have brought up every row.
+ALL = 4
 
 
 class Lists:
@@ -48,13 +50,19 @@ class Lists:
         seen = np.zeros(n, bool)
         depth = 0
         while True:
-            last, depth = depth, min(n, DEPTH if not depth else 2 * depth)
+            last, depth = depth, min(n, DEPTH if not depth else 4 * depth)
             if not seen.all():
-                at = np.concatenate([self.order[n - depth : n - last, used[high[used]]].ravel(), self.order[last:depth, used[~high[used]]].ravel()])
-                fresh = np.zeros(n, bool)
-                fresh[at] = True
-                new = np.flatnonzero(fresh & ~seen if depth < n else ~seen)
-                score[new] = self.x[new] @ q
+                if depth < n and depth * len(used) < ALL * n:
+                    at = np.concatenate([self.order[n - depth : n - last, used[high[used]]].ravel(), self.order[last:depth, used[~high[used]]].ravel()])
+                    fresh = np.zeros(n, bool)
+                    fresh[at] = True
+                    new = np.flatnonzero(fresh & ~seen)
+                else:  # all but a few rows come up so far down the lists: score the rest without looking them up
+                    new = np.flatnonzero(~seen)
+                if 2 * len(new) > n:  # one product is cheaper than to gather most rows
+                    score[:] = self.x @ q
+                else:
+                    score[new] = self.x[new] @ q
                 seen[new] = True
             found = np.flatnonzero(seen & (self.ids != own))
             s = score[found]
