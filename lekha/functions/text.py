@@ -113,19 +113,24 @@ def line_ends(text: Column) -> Column:
 # Lines that a page builder leaves behind, whole or by their beginnings.
 BOILERPLATE = (
     "^Google Sites$", "^Report abuse$", "^Skip to main content$", "^Skip to navigation$", "^Embedded Files$", "^Search this site$",
-    "^DOCS_timing\\b", "^window\\.WIZ_", "^Page built by Google")
+    "^DOCS_timing(?![A-Za-z0-9_])", "^window\\.WIZ_", "^Page built by Google")
 JUNK = "(?i)" + "|".join(BOILERPLATE)
 
 
+def edgeless(text: Column) -> Column:
+    """The text without blanks, newlines included, at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def without_lines(text: Column, pattern: str) -> Column:
-    """The text less the lines that match; three newlines and more become two."""
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.trim(x).rlike(pattern)), "\n")
-    return F.trim(F.regexp_replace(kept, "\n{3,}", "\n\n"))
+    """The text less the lines that match once trimmed; three newlines and more become two, and blanks of all kinds at both ends go."""
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~edgeless(x).rlike(pattern)), "\n")
+    return edgeless(F.regexp_replace(kept, "\n{3,}", "\n\n"))
 
 
 def slug(title: Column, default: str = "bhajan", most: int = 80) -> Column:
-    """A title (composed, see nfc) as a file name: no reserved characters, blanks as single hyphens, at most 80 characters."""
-    x = F.regexp_replace(F.trim(title), r'[\\/:*?"<>|]', "")
+    """A title, composed, as a file name: no reserved characters, blanks as single hyphens, at most 80 characters."""
+    x = F.regexp_replace(edgeless(nfc(title)), r'[\\/:*?"<>|]', "")
     x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, f"{SPACE}+", "-"), "-+", "-"), "^-|-$", "")
     x = F.substring(x, 1, most)
     return F.coalesce(F.when(x != "", x), F.lit(default))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekha.functions import text as t
-from lekha.operators.listings import positions
+from lekha.operators.listings import positions, ranked
 from lekha.plans.shared import written
 
 
@@ -116,6 +116,20 @@ def without_boilerplate(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("doc_id", t.without_lines(F.col("text"), pattern).alias("new"), "text").where("new <> text").select("doc_id", F.col("new").alias("text"))
 
 
+def cleaned_documents(docs: DataFrame, pattern: str = t.JUNK) -> DataFrame:
+    """(doc_id, text, tarz) of the documents that lose lines, blanks at their ends, or a tune (tarz) that is itself such a line."""
+    tune = F.when(~t.edgeless(F.col("tarz")).rlike(pattern), F.col("tarz"))
+    rows = docs.select("doc_id", t.without_lines(F.col("text"), pattern).alias("new"), tune.alias("tune"), "text", "tarz")
+    return rows.where(~F.col("new").eqNullSafe(F.col("text")) | ~F.col("tune").eqNullSafe(F.col("tarz"))).select("doc_id", F.col("new").alias("text"), F.col("tune").alias("tarz"))
+
+
+def previous(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """(group, order, previous): the value of the row before in its group, null for the first; a group with all rows is spread over many tasks."""
+    placed = written(ranked(rows.select(group, order, value), [group], [order]), "placed")
+    before = placed.select(group, (F.col("rank") + 1).alias("rank"), F.col(value).alias("previous"))
+    return placed.join(before, [group, "rank"], "left").select(group, order, "previous")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of non-blank lines, blanks collapsed."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

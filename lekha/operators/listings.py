@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lekha.plans.shared import written
+from lekha.plans.shared import join_groups, written
 
 
 def positions(rows: DataFrame, keys: list[str | Column]) -> DataFrame:
@@ -21,6 +21,14 @@ def positions(rows: DataFrame, keys: list[str | Column]) -> DataFrame:
     return local.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("place")).drop("part", "place", "before")
 
 
+def ranked(rows: DataFrame, group: list[str], keys: list[str | Column]) -> DataFrame:
+    """rows with rank 1, 2, ... in each group in order of keys, as positions: a group with all rows is ranked over many tasks."""
+    placed = written(positions(rows, [*group, *keys]), "placed")
+    first = placed.groupBy(*group).agg(F.min("position").alias("first"), F.count("*").alias("size"))
+    joined = join_groups(placed, first, group, "size", placed.count())
+    return joined.withColumn("rank", F.col("position") - F.col("first") + 1).drop("position", "first", "size")
+
+
 def key_of(title: Column, collation: str | None) -> Column:
     """What titles are sorted by: their code points, or a collation (hi); null counts as empty."""
     title = F.coalesce(title, F.lit(""))
@@ -70,8 +78,12 @@ def groups(docs: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def verse_numbers(turns: DataFrame, spoken: str = "जबानी") -> DataFrame:
-    """(conv_id, turn, number) of verses (user) that are neither blank nor spoken, running in each document."""
-    counts = (F.col("role") == "user") & (F.trim("text") != "") & ~F.trim("text").startswith(spoken)
+    """(conv_id, turn, number) of verses (user) that are neither blank nor spoken, running in each document.
+
+    A spoken verse begins with the word for it and a dash or colon; one that only
+    begins with the word counts.
+    """
+    counts = (F.col("role") == "user") & (F.trim("text") != "") & ~F.trim("text").rlike(rf"^{spoken}\s*[-–—:：]")
     flag = F.when(F.coalesce(counts, F.lit(False)), 1).otherwise(0)
     run = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return turns.withColumn("flag", flag).withColumn("number", F.sum("flag").over(run)).where("flag = 1").select("conv_id", "turn", "number")

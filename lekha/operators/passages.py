@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +12,35 @@ from lekha.functions import text as t
 from lekha.operators.listings import positions
 
 
+def _offsets(profile: str, least: int):
+    run_of, edges = re.compile(t.PROFILES[profile][0]), re.compile(f"^{t.EDGES}|{t.EDGES}$")
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            row, words, starts, stops = [], [], [], []
+            for i, text in enumerate(texts.to_pylist()):
+                for m in run_of.finditer(text or ""):
+                    word = edges.sub("", m[0])
+                    if len(word) >= least:
+                        row.append(i)
+                        words.append(word)
+                        starts.append(m.start())
+                        stops.append(m.end())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int32())), pa.array(words, pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], names=["doc_id", "word", "start", "stop"])
+
+    return run
+
+
 def token_offsets(docs: DataFrame, profile: str, least: int = 2) -> DataFrame:
     """(doc_id, word, start, stop) of each run of the script whose cleaned form has at least so many characters.
 
-    Offsets are those of the run in code points, stop exclusive. A null or empty
-    text has no row; doc_id is unique.
+    Offsets are those of the run in code points, stop exclusive; they are those of
+    one pass of a pattern over the text, so the work is linear in it. A null or
+    empty text has no row; repeated rows and null doc_ids have their own.
     """
-    run = t.PROFILES[profile][0]
-    rows = docs.select("doc_id", t.pieces(F.lower("text") if profile == "ascii" else F.col("text"), profile).alias("pieces"))
-    rows = rows.withColumn("before", t.prefix_sums(F.transform("pieces", lambda x: F.length(x))))
-    rows = rows.select("doc_id", F.explode(F.arrays_zip("pieces", "before")).alias("x")).select("doc_id", F.col("x.pieces").alias("piece"), F.col("x.before").cast("bigint").alias("start"))
-    rows = rows.where(F.col("piece").rlike(f"^{run}$")).withColumn("word", t.clean_token(F.col("piece")))
-    return rows.where(F.length("word") >= least).select("doc_id", "word", "start", (F.col("start") + F.length("piece")).alias("stop"))
+    rows = docs.select("doc_id", (F.lower("text") if profile == "ascii" else F.col("text")).alias("text"))
+    return rows.mapInArrow(_offsets(profile, least), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, word string, start bigint, stop bigint")
 
 
 def first_references(occurrences: DataFrame, most: int = 8) -> DataFrame:

@@ -145,7 +145,7 @@ def lint_details(spark, sf):
 
 def mixed_quotes(spark, sf):
     """Turns with a quotation that ends in another sign than it begins with."""
-    turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.concat(F.lit("'a"), F.substring("text", 1, 5), F.when(F.col("turn") % 2 == 0, '"').otherwise("'"), F.substring("text", 6, 9)).alias("text"))
+    turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.concat(F.lit("'"), "text", F.when(F.col("turn") % 2 == 0, '"').otherwise("'"), "text").alias("text"))
     quotes = tuple(r for r in lint.TYPOS if r.id == "mismatched_quotes")
     return lint.details(turns, quotes).select("doc_id", F.array_join("hits", " ").alias("hits"), "after")
 
@@ -271,7 +271,7 @@ SQL = {
         SELECT doc_id, 'doubled_word' AS rule_id, array_to_string(regexp_extract_all(text, 'the the'), ' ') AS hits, md5(nullif(replace(text, 'the the', 'the'), text)) AS after_md5 FROM documents
         UNION ALL SELECT doc_id, 'doubled_mark', array_to_string(regexp_extract_all(text, '[!?]{2,}'), ' '), md5(nullif(regexp_replace(text, '[!?]{2,}', '!', 'g'), text)) FROM documents
         UNION ALL SELECT doc_id, 'odd_sign', array_to_string(regexp_extract_all(text, '[$%#@|]+'), ' '), md5(nullif(regexp_replace(text, '[$%#@|]+', '', 'g'), text)) FROM documents) WHERE hits <> ''""",
-    "mixed_quotes": r"""WITH q AS (SELECT conv_id || '-' || turn AS doc_id, '''a' || substr(text, 1, 5) || CASE WHEN turn % 2 = 0 THEN '"' ELSE '''' END || substr(text, 6, 9) AS text FROM conversations),
+    "mixed_quotes": r"""WITH q AS (SELECT conv_id || '-' || turn AS doc_id, '''' || text || CASE WHEN turn % 2 = 0 THEN '"' ELSE '''' END || text AS text FROM conversations),
         r AS (SELECT doc_id, text, array_to_string(regexp_extract_all(text, '''[^''"]*"|"[^"'']*'''), ' ') AS hits, regexp_replace(regexp_replace(text, '''([^''"]*)"', '''\1''', 'g'), '"([^"'']*)''', '''\1''', 'g') AS new FROM q)
         SELECT doc_id, hits, nullif(new, text) AS after FROM r WHERE hits <> ''""",
     "titles": rf"""WITH {publishing._D}, r AS (SELECT doc_id, section, title, {_SLUG('title')} AS slug FROM d WHERE section IS NOT NULL)

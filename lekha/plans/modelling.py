@@ -247,7 +247,7 @@ _HOOKS = r"""h AS (SELECT doc_id, ls, list_filter(list_distinct([trim(title), CA
 
 
 def _slug_sql(x: str) -> str:
-    return rf"""coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({x}), '[\\/:*?"<>|]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 80), ''), 'bhajan')"""
+    return rf"""coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(nfc_normalize({x})), '[\\/:*?"<>|]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 80), ''), 'bhajan')"""
 
 
 _LISTINGS = f"""g AS (SELECT doc_id, section, section AS home_section, false AS is_cross_listed FROM x UNION ALL SELECT doc_id, 's' || doc_id % 5, section, true FROM x WHERE 's' || doc_id % 5 <> section AND doc_id % 5 < 3),

@@ -101,7 +101,7 @@ SQL = {
     "master_index": f"WITH {_D} SELECT doc_id, row_number() OVER (ORDER BY title, doc_id) AS number FROM d JOIN s USING (section) WHERE NOT excluded",
     "unique_doc_count": f"WITH {_D} SELECT count(*) AS n FROM d JOIN s USING (section) WHERE NOT excluded",
     "groups_list": f"WITH {_D} SELECT DISTINCT section, group_name FROM d JOIN s USING (section) WHERE s.grouped AND group_name IS NOT NULL",
-    "verse_numbers": "WITH f AS (SELECT *, coalesce(role = 'user' AND trim(text) <> '' AND NOT starts_with(trim(text), 'जबानी'), false) AS flag FROM conversations), n AS (SELECT *, CAST(sum(CAST(flag AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS number FROM f) SELECT conv_id, turn, number FROM n WHERE flag",
+    "verse_numbers": r"WITH f AS (SELECT *, coalesce(role = 'user' AND trim(text) <> '' AND NOT regexp_matches(trim(text), '^जबानी\s*[-–—:：]'), false) AS flag FROM conversations), n AS (SELECT *, CAST(sum(CAST(flag AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS number FROM f) SELECT conv_id, turn, number FROM n WHERE flag",
     "typo_lint": _LINT,
     "typo_fix": r"SELECT doc_id, new AS text FROM (SELECT doc_id, text, regexp_replace(regexp_replace(replace(text, 'the the', 'the'), '[!?]{2,}', '!', 'g'), '[$%#@|]+', '', 'g') AS new FROM documents) WHERE new <> text",
     "lint_summary": f"SELECT rule_id, count(*) AS n_docs, CAST(sum(n_hits) AS BIGINT) AS n_hits FROM ({_LINT}) GROUP BY rule_id",

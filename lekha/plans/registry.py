@@ -170,7 +170,7 @@ SQL = {
     "coverage_report": f"WITH {_VERSES} SELECT conv_id, count(*) FILTER (role = 'user') AS verses, count(*) FILTER (role = 'assistant') AS commentaries, count(*) FILTER (role = 'user' AND coalesce(next <> 'assistant', true)) AS missing FROM v GROUP BY conv_id",
     "find_matches": "SELECT * FROM (SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS n FROM documents) WHERE n > 0",
     "find_replace": "SELECT doc_id, replace(text, ' the ', ' the$1 ') AS text FROM documents WHERE contains(text, ' the ')",
-    "boilerplate_lines": r"""SELECT doc_id, x AS text FROM (SELECT doc_id, text, trim(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(trim(l), '(?i)^licensed under .*$')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS x FROM documents) WHERE x <> text""",
+    "boilerplate_lines": r"""SELECT doc_id, x AS text FROM (SELECT doc_id, text, regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(trim(l), '(?i)^licensed under .*$')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS x FROM documents) WHERE x <> text""",
     "line_ends": r"""WITH x AS (SELECT doc_id, text, array_to_string(list_transform(list_transform(string_split(text, chr(10)), lambda l: struct_pack(l := l, b := regexp_replace(l, '\s+$', ''))), lambda s:
             CASE WHEN s.b = '' THEN s.l WHEN ends_with(s.b, '॥') THEN s.b WHEN regexp_matches(s.b, '।[.,]$') THEN s.b[:-2] WHEN ends_with(s.b, '।') THEN s.b
             WHEN regexp_matches(s.b, '[.,]$') THEN regexp_replace(s.b, '[.,]$', '') || '।' ELSE s.b || '।' END), chr(10)) AS new FROM documents)
