@@ -70,11 +70,15 @@ def clean_token(word: Column) -> Column:
     return F.regexp_replace(word, f"^{EDGES}|{EDGES}$", "")
 
 
+def runs(text: Column, profile: str = "devanagari") -> Column:
+    """Runs of the script's characters, as they stand."""
+    return F.regexp_extract_all(F.lower(text) if profile == "ascii" else text, F.lit(PROFILES[profile][0]), F.lit(0))
+
+
 def clean_tokens(text: Column, profile: str = "devanagari", least: int = 2) -> Column:
-    """Runs of the script's characters, cleaned at their edges, of any length from least on."""
-    text = F.lower(text) if profile == "ascii" else text
-    runs = F.regexp_extract_all(text, F.lit(PROFILES[profile][0]), F.lit(0))
-    return F.filter(F.transform(runs, clean_token), lambda w: F.length(w) >= least)
+    """Runs of the script's characters, cleaned at their edges, of any length from least on; those of ASCII letters have no edges to clean."""
+    found = runs(text, profile)
+    return F.filter(found if profile == "ascii" else F.transform(found, clean_token), lambda w: F.length(w) >= least)
 
 
 def skeleton(word: Column, profile: str = "devanagari") -> Column:

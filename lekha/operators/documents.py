@@ -161,6 +161,27 @@ def _probes(words: DataFrame, body: DataFrame) -> DataFrame:
     return written(rarest, "probes")
 
 
+def query_words(queries: DataFrame) -> DataFrame:
+    """(query_id, word) of queries (query_id, query): distinct words in the form that lines are searched in."""
+    return queries.select("query_id", F.explode(F.array_distinct(F.split(t.search_form(F.col("query")), " "))).alias("word")).where("word <> ''")
+
+
+def searchable_lines(docs: DataFrame, titles: bool = False) -> DataFrame:
+    """(doc_id, line_no, line) in small letters, without joiners; with titles, these are line -1."""
+    body = lines(docs)
+    if titles:
+        body = body.unionByName(docs.select("doc_id", F.lit(-1).cast("bigint").alias("line_no"), F.trim(F.regexp_replace("title", r"\s+", " ")).alias("line")).where("line <> ''"))
+    return body.select("doc_id", "line_no", F.lower(F.regexp_replace("line", "[\u200c\u200d]", "")).alias("line"))
+
+
+def first_matches(full: DataFrame, most: int | None) -> DataFrame:
+    """(query_id, rank, doc_id, line_no) of matching lines: each document's first one, documents in order."""
+    full = full.groupBy("query_id", "doc_id").agg(F.min("line_no").alias("line_no"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).cast("bigint")
+    ranked = full.withColumn("rank", rank) if most is None else full.withColumn("rank", rank).where(F.col("rank") <= most)
+    return ranked.select("query_id", "rank", "doc_id", "line_no")
+
+
 def search(docs: DataFrame, queries: DataFrame, most: int | None = 15, titles: bool = False) -> DataFrame:
     """(query_id, rank, doc_id, line_no): documents one of whose lines holds every word of the query, in order of doc_id.
 
@@ -169,12 +190,8 @@ def search(docs: DataFrame, queries: DataFrame, most: int | None = 15, titles: b
     with all words. With titles, docs has a title, which is looked at as line -1. A
     query without words has no row. most: None for all documents.
     """
-    words = written(queries.select("query_id", F.explode(F.array_distinct(F.split(t.search_form(F.col("query")), " "))).alias("word")).where("word <> ''"), "words")
-    body = lines(docs)
-    if titles:
-        named = docs.select("doc_id", F.lit(-1).cast("bigint").alias("line_no"), F.trim(F.regexp_replace("title", r"\s+", " ")).alias("line")).where("line <> ''")
-        body = body.unionByName(named)
-    body = body.select("doc_id", "line_no", F.lower(F.regexp_replace("line", "[\u200c\u200d]", "")).alias("line"))
+    words = written(query_words(queries), "words")
+    body = searchable_lines(docs, titles)
     probes = _probes(words, body)
     met = None
     for size in [r.size for r in probes.select(F.length("gram").alias("size")).distinct().collect()] or [3]:  # at most three
@@ -184,10 +201,7 @@ def search(docs: DataFrame, queries: DataFrame, most: int | None = 15, titles: b
         met = found if met is None else met.union(found)
     every = words.groupBy("query_id").agg(F.collect_list("word").alias("words"))
     full = met.join(every, "query_id").where(F.forall("words", lambda w: F.col("line").contains(w)))
-    full = full.groupBy("query_id", "doc_id").agg(F.min("line_no").alias("line_no"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).cast("bigint")
-    ranked = full.withColumn("rank", rank) if most is None else full.withColumn("rank", rank).where(F.col("rank") <= most)
-    return ranked.select("query_id", "rank", "doc_id", "line_no")
+    return first_matches(full, most)
 
 
 def with_snippets(found: DataFrame, docs: DataFrame, most: int = 100) -> DataFrame:

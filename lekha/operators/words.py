@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekha.functions import text as t
 from lekha.operators.fuzzy import near_words
 from lekha.operators.graph import connected_components
-from lekha.plans.shared import written
+from lekha.operators.listings import positions
+from lekha.operators.passages import first_references
+from lekha.plans.shared import join_groups, written
 
 
 def occurrences(docs: DataFrame, profile: str, cleaned: bool = False) -> DataFrame:
@@ -22,6 +27,14 @@ def _composed(words: DataFrame, profile: str) -> DataFrame:
     return words if profile == "ascii" else words.withColumn("word", t.clean_token(t.nfc(F.col("word")))).where("length(word) >= 2")
 
 
+def _distinct_words(docs: DataFrame, profile: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., word): distinct words as dictionaries take them. Runs are cleaned and composed once they are distinct."""
+    runs = docs.select(*by, F.explode(t.runs(F.col("text"), profile)).alias("word")).distinct()
+    if profile == "ascii":  # no run has marks or digits at its edges
+        return runs.where("length(word) >= 2")
+    return _composed(runs.withColumn("word", t.clean_token(F.col("word"))), profile).distinct()
+
+
 def word_counts(docs: DataFrame, profile: str, least: int = 1, cleaned: bool = False) -> DataFrame:
     """(word, n, first_doc, first_pos): how often, and where a word is first seen. Cleaned words are composed (NFC) once they are distinct."""
     first = F.min(F.struct("doc_id", "pos"))
@@ -32,15 +45,12 @@ def word_counts(docs: DataFrame, profile: str, least: int = 1, cleaned: bool = F
 
 
 def dictionary(docs: DataFrame, profile: str, sections: list[str] | None = None) -> DataFrame:
-    rows = occurrences(docs, profile, cleaned=True)
-    rows = (rows.where(F.col("section").isin(sections)) if sections is not None else rows).select("word").distinct()
-    return rows if profile == "ascii" else _composed(rows, profile).distinct()
+    return _distinct_words(docs if sections is None else docs.where(F.col("lang").isin(sections)), profile)
 
 
 def vocabulary_sizes(docs: DataFrame, profile: str) -> DataFrame:
     """(section, n_words), and the whole with a null section; distinct first, so that each count is a plain sum."""
-    pairs = occurrences(docs, profile, cleaned=True).select("section", "word").distinct()
-    pairs = pairs if profile == "ascii" else _composed(pairs, profile).distinct()
+    pairs = _distinct_words(docs.withColumnRenamed("lang", "section"), profile, ("section",))
     return pairs.groupBy("section").agg(F.count("*").alias("n_words")).unionByName(pairs.select("word").distinct().agg(F.count("*").alias("n_words")).withColumn("section", F.lit(None).cast("string")))
 
 
@@ -66,26 +76,55 @@ def clustered_words(counts: DataFrame, profile: str) -> DataFrame:
     return connected_components(edges, "a", "b").withColumnRenamed("node", "word").join(counts, "word")
 
 
+def _digests(batches):
+    """(component, id) of rows (component, word) that come in order: each component's words are digested as they pass."""
+    now, digest = None, None
+    for batch in batches:
+        out = []
+        for component, word in zip(batch.column("component").to_pylist(), batch.column("word").to_pylist(), strict=True):
+            if component != now:
+                if digest is not None:
+                    out.append((now, digest.hexdigest()[:12]))
+                now, digest = component, hashlib.md5(word.encode())
+            else:
+                digest.update(b"|" + word.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in (0, 1)], names=["component", "id"])
+    if digest is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([digest.hexdigest()[:12]])], names=["component", "id"])
+
+
 def _clusters(rows: DataFrame, profile: str, least_total: int) -> DataFrame:
     rank = F.struct(-F.col("n"), "first_doc", "first_pos")
-    found = rows.groupBy("component").agg(F.min_by("word", rank).alias("canonical"), F.sum("n").alias("total"), F.count("*").alias("n_forms"), F.collect_list("word").alias("forms"))
-    return found.where((F.col("total") >= least_total) & (F.col("n_forms") > 1)).select(
-        "component", t.cluster_id(F.col("forms")).alias("id"), "canonical", "total", "n_forms", t.skeleton(F.col("canonical"), profile).alias("skeleton"))
+    ids = rows.select("component", "word").repartition("component").sortWithinPartitions("component", "word").mapInArrow(_digests, "component string, id string")
+    found = rows.groupBy("component").agg(F.min_by("word", rank).alias("canonical"), F.sum("n").alias("total"), F.count("*").alias("n_forms"))
+    return found.where((F.col("total") >= least_total) & (F.col("n_forms") > 1)).join(ids, "component").select(
+        "component", "id", "canonical", "total", "n_forms", t.skeleton(F.col("canonical"), profile).alias("skeleton"))
 
 
 def variant_clusters(counts: DataFrame, profile: str, least_total: int = 4) -> DataFrame:
     """(id, canonical, total, n_forms, skeleton) of words that variants join.
 
     The canonical form is the most frequent; ties go to the one seen first. An id
-    is a digest of all forms in order, so these meet in one row.
+    is a digest of all forms in order, which pass through a task one by one and are
+    nowhere gathered.
     """
-    return _clusters(clustered_words(counts, profile), profile, least_total).drop("component")
+    return _clusters(written(clustered_words(counts, profile), "clustered"), profile, least_total).drop("component")
+
 
+def cluster_variants(counts: DataFrame, occurrences: DataFrame, profile: str, least_total: int = 4, samples: int = 5) -> DataFrame:
+    """(rank, id, total, form, n, samples array<struct<doc_id, pos>>): the forms of each cluster, a row each, with the first places where they stand.
 
-def cluster_variants(counts: DataFrame, profile: str, least_total: int = 4) -> DataFrame:
-    """(id, total, form, n, first_doc): the forms of each cluster, a row each, with where they are first seen."""
+    rank numbers the clusters by their total, the largest first; ties go to the
+    smaller id. occurrences (doc_id, pos, word) are those that counts counts. A
+    cluster's forms are rows of their own, so none has to fit a row or a task.
+    """
     rows = written(clustered_words(counts, profile), "clustered")
-    return rows.join(_clusters(rows, profile, least_total).select("component", "id", "total"), "component").select("id", "total", F.col("word").alias("form"), "n", "first_doc")
+    found = written(_clusters(rows, profile, least_total), "clusters")
+    placed = positions(found.select("component", "id", "total", "n_forms", (-F.col("total")).alias("less")), ["less", "id"]).withColumnRenamed("position", "rank").drop("less")
+    forms = join_groups(rows.select("component", "word", "n"), written(placed, "placed"), ["component"], "n_forms", rows.count()).where("rank is not null")
+    seen = first_references(occurrences.join(rows.select("word"), "word", "left_semi"), samples)
+    seen = seen.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("doc_id", "pos"))).alias("samples"))  # so many places at most
+    return forms.join(seen, "word").select("rank", "id", "total", F.col("word").alias("form"), "n", "samples")
 
 
 def unknown_words(docs: DataFrame, trusted: DataFrame, profile: str, allowed: DataFrame | None = None) -> DataFrame:
@@ -94,9 +133,12 @@ def unknown_words(docs: DataFrame, trusted: DataFrame, profile: str, allowed: Da
     allowed (word): allow, ignore and custom lists together. Words of digits alone
     are never unknown.
     """
-    counts = occurrences(docs, profile, cleaned=True).groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+    runs = docs.select("doc_id", F.explode(t.runs(F.col("text"), profile)).alias("run"))
+    forms = None
     if profile != "ascii":
-        counts = _composed(counts, profile).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+        forms = _composed(runs.select("run").distinct().withColumn("word", t.clean_token(F.col("run"))), profile)
+    words = runs.withColumnRenamed("run", "word").where("length(word) >= 2") if forms is None else runs.join(forms, "run").select("doc_id", "word")
+    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
     known = trusted.select("word") if allowed is None else trusted.select("word").unionByName(allowed.select("word"))
     return counts.where(~F.col("word").rlike("^[0-9०-९]+$")).join(known, "word", "left_anti")
 
@@ -104,17 +146,27 @@ def unknown_words(docs: DataFrame, trusted: DataFrame, profile: str, allowed: Da
 def suggestions(unknown: DataFrame, counts: DataFrame, most: int = 8) -> DataFrame:
     """(word, rank, suggestion, distance): the nearest words of counts (word, n), then the more frequent, then by word.
 
-    The bound on edits grows with the word's length; words of each bound are
-    joined with it alone. A word without a near one has no row.
+    The bound on edits grows with the word's length. Words are sought in rings, the
+    nearest first: within one edit, then two, four, eight, ... up to their bounds. A
+    ring is complete, so a word that has `most` suggestions by then has the nearest
+    ones and goes no further; wide rings, whose joins cost most, meet only what is
+    still short. A word without a near one has no row; nulls have none.
     """
-    words = written(unknown.select("word").distinct().withColumn("bound", t.spell_bound(F.length("word"))), "unknown")
-    counts = written(counts.select("word", "n"), "known")
-    near = None
-    for bound in [r.bound for r in words.select("bound").distinct().collect()]:  # at most nine
-        found = near_words(words.where(F.col("bound") == bound).select("word"), counts.select("word"), bound)
-        near = found if near is None else near.union(found)
-    if near is None:
-        near = near_words(words.select("word"), counts.select("word"), 1)
+    left = written(unknown.where("word is not null").select("word").distinct().withColumn("bound", t.spell_bound(F.length("word"))), "unknown")
+    counts = written(counts.where("word is not null").select("word", "n"), "known")
+    near, low, high = None, 0, 1
+    while True:
+        reach = F.least("bound", F.lit(high))
+        for k in sorted(r.reach for r in left.select(reach.alias("reach")).distinct().collect()) or [1]:  # the bounds in (low, high]
+            ring = near_words(left.where(reach == k).select("word"), counts.select("word"), k).where(F.col("distance") > low)
+            near = ring if near is None else near.union(ring)
+        near = written(near, "rings")
+        if not left.isEmpty():
+            enough = near.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") >= most)
+            left = written(left.where(F.col("bound") > high).join(enough.select(F.col("a").alias("word")), "word", "left_anti"), "short")
+        if left.isEmpty():
+            break
+        low, high = high, 2 * high
     ranked = near.join(counts.select(F.col("word").alias("b"), "n"), "b")
     rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", F.desc("n"), "b"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("a").alias("word"), F.col("rank").cast("bigint").alias("rank"), F.col("b").alias("suggestion"), F.col("distance").cast("bigint").alias("distance"))

@@ -67,12 +67,6 @@ def unknown_keys(spark, sf):
 
 
 def replace_words(spark, sf):
-    docs = table(spark, sf, "documents")
-    counts = w.word_counts(docs, PROFILE, 20).where("length(word) >= 7")
-    return w.replaced_words(docs, w.canonical_forms(counts, PROFILE), PROFILE)
-
-
-def replace_words_whole(spark, sf):
     docs = table(spark, sf, "documents")
     return w.replaced_words(docs, w.canonical_forms(registry.whole_counts(docs), PROFILE), PROFILE)
 
@@ -84,7 +78,14 @@ def suggest(spark, sf):
     return w.suggestions(unknown, counts)
 
 
-QUERIES = {f.__name__: f for f in (display_order, prev_next, master_index, unique_doc_count, groups_list, verse_numbers, typo_lint, typo_fix, lint_summary, unknown_keys, replace_words, replace_words_whole, suggest)}
+def suggest_turns(spark, sf):
+    """For the words of conversations that no document has, the documents' words."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("").alias("lang"), "text")
+    counts = w.word_counts(table(spark, sf, "documents"), PROFILE, cleaned=True)
+    return w.suggestions(w.unknown_words(turns, counts.select("word"), PROFILE), counts)
+
+
+QUERIES = {f.__name__: f for f in (display_order, prev_next, master_index, unique_doc_count, groups_list, verse_numbers, typo_lint, typo_fix, lint_summary, unknown_keys, replace_words, suggest, suggest_turns)}
 
 _D = f"""s(section_pos, section, sort, excluded, grouped) AS (VALUES {', '.join(map(str, SECTIONS))}),
     d AS (SELECT doc_id, lang AS section, source AS group_name, coalesce(string_split(text, chr(10))[1], '') AS title FROM documents)"""
@@ -94,7 +95,7 @@ _LINT = r"""SELECT * FROM (
     UNION ALL SELECT doc_id, 'doubled_mark', len(regexp_extract_all(text, '[!?]{2,}')), regexp_replace(text, '[!?]{2,}', '!', 'g') <> text FROM documents
     UNION ALL SELECT doc_id, 'odd_sign', len(regexp_extract_all(text, '[$%#@|]+')), regexp_replace(text, '[$%#@|]+', '', 'g') <> text FROM documents) WHERE n_hits > 0"""
 
-#: Suggestions compare all unknown words with all known ones: too slow in SQL; tested by brute force.
+#: The words of all unlabelled documents are too many to compare with all known ones in SQL: suggest is tested by brute force.
 SQL = {
     "display_order": f"{_ORDER} SELECT * FROM o",
     "prev_next": f"{_ORDER} SELECT *, lag(doc_id) OVER (PARTITION BY section ORDER BY number) AS prev_id, lead(doc_id) OVER (PARTITION BY section ORDER BY number) AS next_id FROM o",
@@ -106,8 +107,13 @@ SQL = {
     "typo_fix": r"SELECT doc_id, new AS text FROM (SELECT doc_id, text, regexp_replace(regexp_replace(replace(text, 'the the', 'the'), '[!?]{2,}', '!', 'g'), '[$%#@|]+', '', 'g') AS new FROM documents) WHERE new <> text",
     "lint_summary": f"SELECT rule_id, count(*) AS n_docs, CAST(sum(n_hits) AS BIGINT) AS n_hits FROM ({_LINT}) GROUP BY rule_id",
     "unknown_keys": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) WHERE key NOT IN ('ref') GROUP BY key",
-    "replace_words": f"""WITH {registry._TOKENS}, c AS (SELECT word, count(*) AS n, regexp_replace(word, '[aeiou]', '', 'g') AS skeleton FROM t WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 20),
+    "replace_words": f"""WITH {registry._TOKENS}, c AS (SELECT word, count(*) AS n, regexp_replace(word, '[aeiou]', '', 'g') AS skeleton FROM t GROUP BY word HAVING count(*) >= 2),
         m AS (SELECT word, arg_min(word, struct_pack(n := -n, w := word)) OVER (PARTITION BY skeleton) AS canonical FROM c WHERE skeleton <> ''),
         x AS (SELECT doc_id, unnest(y) AS piece, generate_subscripts(y, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]+|[^a-z]+') AS y FROM documents))
         SELECT doc_id, string_agg(coalesce(canonical, piece), '' ORDER BY pos) AS text, count(canonical) AS n_replaced FROM x LEFT JOIN (SELECT * FROM m WHERE canonical <> word) m ON piece = word GROUP BY doc_id HAVING count(canonical) > 0""",
+    "suggest_turns": """WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), k AS (SELECT word, count(*) AS n FROM t WHERE length(word) >= 2 GROUP BY word),
+        u AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) WHERE length(word) >= 2 AND word NOT IN (SELECT word FROM k)),
+        b AS (SELECT word, CASE WHEN length(word) <= 3 THEN 1 WHEN length(word) <= 6 THEN 2 ELSE greatest(2, CAST(floor(length(word) * 0.32) AS INT)) END AS most FROM u),
+        p AS (SELECT b.word, k.word AS suggestion, n, levenshtein(b.word, k.word) AS distance FROM b JOIN k ON abs(length(b.word) - length(k.word)) <= most AND levenshtein(b.word, k.word) <= most)
+        SELECT * FROM (SELECT word, row_number() OVER (PARTITION BY word ORDER BY distance, n DESC, suggestion) AS rank, suggestion, distance FROM p) WHERE rank <= 8""",
 }

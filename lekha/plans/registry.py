@@ -63,28 +63,25 @@ def oov_tokens(spark, sf):
     return w.unknown_words(docs.join(labels, "doc_id", "left_anti"), trusted, PROFILE)
 
 
-def variant_pairs(spark, sf):
-    return w.variant_pairs(w.word_counts(_docs(spark, sf), PROFILE, 20).select("word")).withColumn("distance", F.col("distance").cast("bigint"))
-
-
-def variant_clusters(spark, sf):
-    counts = w.word_counts(_docs(spark, sf), PROFILE, 20).where("length(word) >= 7")
-    return w.variant_clusters(counts, PROFILE)
-
-
 def whole_counts(docs: DataFrame) -> DataFrame:
     """The words that the reference scans: of two letters or more, seen at least twice."""
     return w.word_counts(docs, PROFILE, 2)
 
 
-def variant_pairs_whole(spark, sf):
+def variant_pairs(spark, sf):
     return w.variant_pairs(whole_counts(_docs(spark, sf)).select("word")).withColumn("distance", F.col("distance").cast("bigint"))
 
 
-def variant_clusters_whole(spark, sf):
+def variant_clusters(spark, sf):
     return w.variant_clusters(whole_counts(_docs(spark, sf)), PROFILE)
 
 
+def cluster_variants(spark, sf):
+    docs = _docs(spark, sf)
+    out = w.cluster_variants(whole_counts(docs), w.occurrences(docs, PROFILE), PROFILE)
+    return out.withColumn("samples", F.array_join(F.transform("samples", lambda x: F.concat_ws(":", x.doc_id, x.pos)), " "))
+
+
 def cross_list(spark, sf):
     return d.cross_listings(_also(_docs(spark, sf)), sections(spark))
 
@@ -122,28 +119,34 @@ def line_ends(spark, sf):
 
 
 def search(spark, sf):
-    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: F.length(x) >= 3), 1, 3), " ").alias("query"))
-    return d.search(_docs(spark, sf), queries)
-
-
-def search_whole(spark, sf):
     """Each benchmark text, with all its words, as a query."""
     return d.search(_docs(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 QUERIES = {f.__name__: f for f in (
-    word_counts, corpus_dictionary, vocab_by_section, subset_vocab, merge_lexicons, lexicon_diff, oov_tokens, variant_pairs, variant_clusters, variant_pairs_whole, variant_clusters_whole,
-    cross_list, listing_counts, global_ids, verse_gaps, coverage_report, find_matches, find_replace, boilerplate_lines, line_ends, search, search_whole)}
-FLAGSHIP = variant_clusters_whole
+    word_counts, corpus_dictionary, vocab_by_section, subset_vocab, merge_lexicons, lexicon_diff, oov_tokens, variant_pairs, variant_clusters, cluster_variants,
+    cross_list, listing_counts, global_ids, verse_gaps, coverage_report, find_matches, find_replace, boilerplate_lines, line_ends, search)}
+FLAGSHIP = variant_clusters
 
 _COUNTS = "c AS (SELECT word, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS first FROM t GROUP BY word HAVING count(*) >= {least})"
+#: Words that have a string in common after a deletion, or two where both are longer than four letters, are compared.
+_NEAR = """k AS MATERIALIZED (SELECT word, n, first, length(word) AS l FROM c),
+    d1 AS (SELECT DISTINCT word, l, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM k, unnest(range(1, l + 1)) u(i)),
+    d2 AS (SELECT DISTINCT word, l, substr(rest, 1, i - 1) || substr(rest, i + 1) AS rest FROM d1, unnest(range(1, l)) u(i) WHERE l > 4),
+    dd AS MATERIALIZED (SELECT word, l, word AS rest FROM k UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2),
+    e AS MATERIALIZED (SELECT DISTINCT x.word AS a, y.word AS b FROM dd x JOIN dd y ON x.rest = y.rest AND x.word < y.word AND levenshtein(x.word, y.word) <= CASE WHEN least(x.l, y.l) <= 4 THEN 1 ELSE 2 END)"""
+_CLUSTERS = _COUNTS.format(least=2) + f""", {_NEAR},
+    sk AS (SELECT *, regexp_replace(word, '[aeiou]', '', 'g') AS skeleton FROM k), st AS (SELECT word, min(word) OVER (PARTITION BY skeleton) AS m FROM sk),
+    ed AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT word, m FROM st WHERE word <> m UNION SELECT m, word FROM st WHERE word <> m),
+    cc(word, root) USING KEY (word) AS (SELECT DISTINCT a, a FROM ed UNION (SELECT u.word, min(v.root) FROM recurring.cc u JOIN ed ON ed.a = u.word JOIN cc v ON v.word = ed.b WHERE v.root < u.root GROUP BY u.word)),
+    cl AS (SELECT root, substr(md5(array_to_string(list_sort(list(word)), '|')), 1, 12) AS id, arg_min(word, struct_pack(n := -n, d := first.d, p := first.p)) AS canonical, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_forms,
+        arg_min(skeleton, struct_pack(n := -n, d := first.d, p := first.p)) AS skeleton FROM cc JOIN sk USING (word) GROUP BY root HAVING sum(n) >= 4 AND count(*) > 1)"""
 _CROSS = f"""
     own AS (SELECT lang AS section, doc_id, false AS is_cross_listed FROM documents),
     other AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS section, doc_id, lang FROM documents),
     listings AS (SELECT * FROM own UNION ALL SELECT o.section, doc_id, true FROM other o JOIN {_SECTIONS_SQL} ON o.section = s.section WHERE o.section <> lang AND o.section IN ('de', 'en', 'es', 'fr', 'xx'))"""
 _VERSES = "v AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations)"
 
-#: The whole variant scans compare all pairs of words: too slow in SQL; tested by brute force.
 SQL = {
     "word_counts": f"WITH {_TOKENS}, {_COUNTS.format(least=1)} SELECT word, n, first.d AS first_doc, CAST(first.p AS BIGINT) AS first_pos FROM c",
     "corpus_dictionary": f"WITH {_TOKENS} SELECT DISTINCT word FROM t",
@@ -152,17 +155,11 @@ SQL = {
     "merge_lexicons": f"WITH {_TOKENS} SELECT DISTINCT word FROM t WHERE section IN ('en', 'es')",
     "lexicon_diff": f"WITH {_TOKENS} SELECT DISTINCT word FROM t WHERE section = 'es' AND word NOT IN (SELECT word FROM t WHERE section = 'en')",
     "oov_tokens": f"WITH {_TOKENS}, q AS (SELECT doc_id FROM labels WHERE quality = 1) SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t WHERE doc_id NOT IN (SELECT doc_id FROM q) AND word NOT IN (SELECT word FROM t WHERE doc_id IN (SELECT doc_id FROM q)) GROUP BY word",
-    "variant_pairs": f"""WITH {_TOKENS}, {_COUNTS.format(least=20)}
-        SELECT x.word AS a, y.word AS b, levenshtein(x.word, y.word) AS distance FROM c x JOIN c y ON x.word < y.word AND abs(length(x.word) - length(y.word)) <= 2
-        WHERE levenshtein(x.word, y.word) <= CASE WHEN least(length(x.word), length(y.word)) <= 4 THEN 1 ELSE 2 END""",
-    "variant_clusters": f"""WITH RECURSIVE {_TOKENS}, {_COUNTS.format(least=20)}, k AS (SELECT *, regexp_replace(word, '[aeiou]', '', 'g') AS skeleton FROM c WHERE length(word) >= 7),
-        e AS (SELECT x.word AS a, y.word AS b FROM k x JOIN k y ON x.word <> y.word AND abs(length(x.word) - length(y.word)) <= 2 AND levenshtein(x.word, y.word) <= 2
-            UNION SELECT x.word, y.word FROM k x JOIN k y ON x.skeleton = y.skeleton AND x.word <> y.word),
-        r AS (SELECT a AS word, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.word),
-        m AS (SELECT word, min(root) AS root FROM r GROUP BY word)
-        SELECT substr(md5(array_to_string(list_sort(list(word)), '|')), 1, 12) AS id, arg_min(word, struct_pack(n := -n, d := first.d, p := first.p)) AS canonical, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_forms,
-            arg_min(skeleton, struct_pack(n := -n, d := first.d, p := first.p)) AS skeleton
-        FROM m JOIN k USING (word) GROUP BY root HAVING sum(n) >= 4 AND count(*) > 1""",
+    "variant_pairs": f"WITH {_TOKENS}, {_COUNTS.format(least=2)}, {_NEAR} SELECT a, b, levenshtein(a, b) AS distance FROM e",
+    "variant_clusters": f"""WITH RECURSIVE {_TOKENS}, {_CLUSTERS} SELECT id, canonical, total, n_forms, skeleton FROM cl""",
+    "cluster_variants": f"""WITH RECURSIVE {_TOKENS}, {_CLUSTERS}, rk AS (SELECT root, id, total, row_number() OVER (ORDER BY total DESC, id) AS rank FROM cl),
+        o AS (SELECT word, doc_id, pos, row_number() OVER (PARTITION BY word ORDER BY doc_id, pos) AS r FROM t), so AS (SELECT word, string_agg(doc_id || ':' || pos, ' ' ORDER BY r) AS samples FROM o WHERE r <= 5 GROUP BY word)
+        SELECT rank, id, total, word AS form, n, samples FROM cc JOIN rk USING (root) JOIN k USING (word) JOIN so USING (word)""",
     "cross_list": f"WITH {_CROSS} SELECT * FROM listings",
     "listing_counts": f"WITH {_CROSS} SELECT s.section, count(doc_id) AS n FROM {_SECTIONS_SQL} LEFT JOIN listings USING (section) GROUP BY s.section",
     "global_ids": f"SELECT doc_id, row_number() OVER (ORDER BY section_pos, doc_id) AS number FROM documents JOIN {_SECTIONS_SQL} ON lang = section",
@@ -175,14 +172,7 @@ SQL = {
             CASE WHEN s.b = '' THEN s.l WHEN ends_with(s.b, '॥') THEN s.b WHEN regexp_matches(s.b, '।[.,]$') THEN s.b[:-2] WHEN ends_with(s.b, '।') THEN s.b
             WHEN regexp_matches(s.b, '[.,]$') THEN regexp_replace(s.b, '[.,]$', '') || '।' ELSE s.b || '।' END), chr(10)) AS new FROM documents)
         SELECT doc_id, new AS text FROM x WHERE new <> text""",
-    "search": r"""WITH q AS (SELECT item_id AS query_id, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: length(x) >= 3)[1:3] AS ws FROM benchmark),
-        qw AS (SELECT query_id, list_distinct(list_transform(ws, lambda x: lower(x))) AS ws FROM q),
-        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
-        n AS (SELECT doc_id, line_no, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS line FROM l),
-        h AS (SELECT query_id, doc_id, min(line_no) AS line_no FROM qw JOIN n ON len(ws) > 0 AND contains(n.line, ws[1]) AND (len(ws) < 2 OR contains(n.line, ws[2])) AND (len(ws) < 3 OR contains(n.line, ws[3])) GROUP BY query_id, doc_id),
-        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank, doc_id, CAST(line_no AS BIGINT) AS line_no FROM h)
-        SELECT * FROM r WHERE rank <= 15""",
-    "search_whole": r"""WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS ws FROM benchmark),
+    "search": r"""WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS ws FROM benchmark),
         l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
         n AS (SELECT doc_id, line_no, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS line FROM l),
         h AS (SELECT query_id, doc_id, min(line_no) AS line_no FROM q JOIN n ON len(ws) > 0 AND contains(n.line, ws[1]) AND len(list_filter(ws, lambda x: NOT contains(n.line, x))) = 0 GROUP BY query_id, doc_id),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lekha.functions import text as t
 from lekha.operators import documents as d
-from lekha.operators import edits
-from lekha.plans import publishing
+from lekha.operators import edits, postings
+from lekha.plans import publishing, registry
 from lekha.plans.shared import new_path, table
 from lekha.sources import store
 
@@ -87,7 +87,32 @@ def cleaned_docs(spark, sf):
     return d.cleaned_documents(docs, t.JUNK).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "tarz")
 
 
-QUERIES = {f.__name__: f for f in (edit_outcomes, edited_docs, names_in_one_folder, store_commit, store_versions, cleaned_docs)}
+def _indexed(spark, sf) -> str:
+    """An index of all documents, made in two calls."""
+    path, docs = new_path(spark, "index"), table(spark, sf, "documents")
+    for k in (0, 1):
+        postings.add(docs.where(F.coalesce(F.col("doc_id") % 2, F.lit(0)) == k), path)
+    return path
+
+
+def search_index(spark, sf):
+    """All benchmark texts in two batches of queries of one index."""
+    path = _indexed(spark, sf)
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return postings.search(spark, path, queries.where("query_id % 2 = 0")).unionByName(postings.search(spark, path, queries.where("query_id % 2 = 1")))
+
+
+def search_index_short(spark, sf):
+    """The sections' names, words of two letters, as queries."""
+    names = table(spark, sf, "documents").select(F.col("lang").alias("query_id"), F.col("lang").alias("query")).where("query is not null").distinct()
+    return postings.search(spark, _indexed(spark, sf), names, most=None)
+
+
+def gram_counts(spark, sf):
+    return postings.gram_counts(spark, _indexed(spark, sf)).select("gram", "n")
+
+
+QUERIES = {f.__name__: f for f in (search_index, search_index_short, gram_counts, edit_outcomes, edited_docs, names_in_one_folder, store_commit, store_versions, cleaned_docs)}
 
 _FOLD = """
     docs AS (SELECT doc_id AS path, md5(coalesce(text, '')) AS sha, text FROM documents),
@@ -110,7 +135,12 @@ _STORE = """v1 AS (SELECT doc_id, coalesce(lang, 'none') AS section, text FROM d
     v2 AS (SELECT doc_id, section, replace(text, 'the the', 'the') AS text FROM v1 WHERE doc_id % 97 <> 0 UNION ALL SELECT -1 - item_id, 'new', text FROM benchmark)"""
 _LEFT = "['Google Sites', 'Report abuse', 'SKIP to main content', 'Skip to navigation', 'Embedded Files', ' Search this site' || chr(9), 'DOCS_timing[''x'']', 'window.WIZ_global', 'Page built by Google Sites'][doc_id % 9 + 1]"
 
+_LINES = r"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), n AS (SELECT doc_id, line_no, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS line FROM l)"
+
 SQL = {
+    "search_index": registry.SQL["search"],
+    "search_index_short": f"WITH {_LINES}, q AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), h AS (SELECT lang AS query_id, doc_id, CAST(min(line_no) AS BIGINT) AS line_no FROM q JOIN n ON contains(line, lang) GROUP BY ALL) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank, doc_id, line_no FROM h",
+    "gram_counts": f"WITH {_LINES}, g AS (SELECT DISTINCT doc_id, line_no, substr(line || chr(10) || chr(10), i, 3) AS gram FROM n, unnest(range(1, length(line) + 1)) u(i) WHERE line <> '') SELECT gram, count(*) AS n FROM g GROUP BY gram",
     "edit_outcomes": f"""WITH RECURSIVE {_FOLD} SELECT version, CAST(path AS VARCHAR) AS path, op, CAST(goal AS VARCHAR) AS "to",
         CASE WHEN reason IS NOT NULL THEN 'conflict' ELSE CASE op WHEN 'create' THEN 'created' WHEN 'update' THEN 'updated' WHEN 'delete' THEN 'deleted' ELSE 'renamed' END END AS status, reason FROM r WHERE k > 0""",
     "edited_docs": f"""WITH RECURSIVE {_FOLD}, f AS (SELECT unnest(map_entries(arg_max(s, k))) AS x FROM r GROUP BY g),

@@ -163,7 +163,7 @@ def test_whole_variant_queries_equal_brute_force(spark, tmp_path):
     n = {x: seen.count(x) for x in set(seen) if seen.count(x) >= 2}
     bare = {x: "".join(c for c in x if c not in "aeiou") for x in n}
     pairs = {(a, b, d) for a in n for b in n if a < b and (d := distance(a, b)) <= (1 if min(len(a), len(b)) <= 4 else 2)}
-    assert pairs and {tuple(x) for x in registry.variant_pairs_whole(spark, str(tmp_path)).collect()} == pairs
+    assert pairs and {tuple(x) for x in registry.variant_pairs(spark, str(tmp_path)).collect()} == pairs
     group = {x: {x} for x in n}
     for a, b in [p[:2] for p in pairs] + [(a, b) for a in n for b in n if a < b and bare[a] == bare[b]]:
         if group[a] is not group[b]:
@@ -171,10 +171,10 @@ def test_whole_variant_queries_equal_brute_force(spark, tmp_path):
             for x in group[a]:
                 group[x] = group[a]
     clusters = {(min(g, key=lambda x: (-n[x], seen.index(x))), sum(n[x] for x in g), len(g)) for g in map(frozenset, group.values()) if len(g) > 1 and sum(n[x] for x in g) >= 4}
-    assert clusters and {(x.canonical, x.total, x.n_forms) for x in registry.variant_clusters_whole(spark, str(tmp_path)).collect()} == clusters
+    assert clusters and {(x.canonical, x.total, x.n_forms) for x in registry.variant_clusters(spark, str(tmp_path)).collect()} == clusters
     best = {x: min((y for y in n if bare[y] == bare[x]), key=lambda y: (-n[y], y)) for x in n if bare[x]}
     want = {i: " ".join(best.get(x, x) for x in text.split()) for i, text in enumerate(texts)}
-    assert {x.doc_id: x.text for x in publishing.replace_words_whole(spark, str(tmp_path)).collect()} == {i: x for i, x in want.items() if x != texts[i]}
+    assert {x.doc_id: x.text for x in publishing.replace_words(spark, str(tmp_path)).collect()} == {i: x for i, x in want.items() if x != texts[i]}
 
 
 def test_search_keeps_short_words(spark):
