@@ -77,6 +77,36 @@ def test_warc_repeated_and_null_ids(spark, tmp_path):
     assert got == sorted(want, key=repr)
 
 
+def test_warc_paths_mean_the_same_everywhere(spark, tmp_path, monkeypatch):
+    conf = spark._jsc.hadoopConfiguration()
+    was = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "hdfs://name:8020")
+        assert warc.resolved(spark, "/user/x") == "hdfs://name:8020/user/x"
+        conf.set("fs.defaultFS", "file:///")
+        assert warc.resolved(spark, "/user/x") == "file:/user/x" and warc.resolved(spark, "s3a://b/x") == "s3a://b/x"
+        monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+        with pytest.raises(ValueError, match="share"):
+            warc.resolved(spark, "/user/x")
+        assert warc.resolved(spark, "file:///shared/x") == "file:///shared/x"
+        monkeypatch.undo()
+    finally:
+        conf.set("fs.defaultFS", was)
+    warc.write_warc(spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string"), f"{tmp_path}/bare")
+    assert [r.page_id for r in warc.page_records(warc.read_warc(spark, f"{tmp_path}/bare")).collect()] == [1]
+
+
+def test_warc_hot_page(spark, tmp_path):
+    rows = spark.range(6000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 1, F.lit("x" * 200)).otherwise(F.concat(F.lit("y" * 100), (F.col("id") % 1000).cast("string"))).alias("html"))
+    warc.write_warc(rows, f"file://{tmp_path}/w")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.page_records(warc.read_warc(spark, f"file://{tmp_path}/w")).collect()}
+    first = {}
+    for i in range(6000):
+        first.setdefault("x" if i % 3 == 1 else i % 1000, i)
+    want = {i: first["x" if i % 3 == 1 else i % 1000] for i in range(6000)}
+    assert got == {i: ("response", None) if i == f else ("revisit", f) for i, f in want.items()}
+
+
 class Pieces:
     """A model of a few pieces with fractional scores."""
 
