@@ -35,6 +35,25 @@ def key_of(title: Column, collation: str | None) -> Column:
     return title if collation is None else F.collate(title, collation)
 
 
+def with_title_ranks(docs: DataFrame, collation: str = "hi") -> DataFrame:
+    """docs, written, with title_rank: the place of the title among all distinct ones in a collation; titles that it holds equal have one rank.
+
+    The collation's keys are made and sorted here alone. display_order, group_order,
+    listing_numbers and master_index sort by the rank where docs has one.
+    """
+    titles = docs.select(F.coalesce("title", F.lit("")).alias("title")).distinct()
+    placed = written(positions(titles.withColumn("key", F.collate("title", collation)), ["key", "title"]), "titles")
+    ranks = placed.join(placed.groupBy("key").agg(F.min("position").alias("title_rank")), "key").select(F.col("title").alias("__title"), "title_rank")
+    sizes = docs.groupBy(F.coalesce("title", F.lit("")).alias("__title")).agg(F.count("*").alias("__n"))
+    rows = written(docs.withColumn("__title", F.coalesce("title", F.lit(""))), "docs")
+    return written(join_groups(rows, written(sizes.join(ranks, "__title"), "ranks"), ["__title"], "__n", rows.count()).drop("__title", "__n"), "ranked")
+
+
+def title_key(docs: DataFrame, title: Column, collation: str | None = None) -> Column:
+    """What rows are sorted by for their titles: the rank in docs, if it has one, else key_of; where title is null, as if it were empty."""
+    return F.when(title.isNotNull(), F.col("title_rank")).otherwise(0) if "title_rank" in docs.columns else key_of(title, collation)
+
+
 def display_order(docs: DataFrame, sections: DataFrame, collation: str | None = None, keep_groups: bool = False) -> DataFrame:
     """(section, doc_id, number): a section's documents by title, or by doc_id where its sort is 'file'.
 
@@ -44,7 +63,7 @@ def display_order(docs: DataFrame, sections: DataFrame, collation: str | None =
     """
     by_file = (F.col("sort") == "file") | (F.coalesce("grouped", F.lit(False)) if keep_groups else F.lit(False))
     rows = docs.join(sections, "section").select(
-        "section", "section_pos", "doc_id", key_of(F.when(~by_file, F.col("title")), collation).alias("key"))
+        "section", "section_pos", "doc_id", title_key(docs, F.when(~by_file, F.col("title")), collation).alias("key"))
     placed = positions(rows, ["section_pos", "key", "doc_id"])
     first = placed.groupBy("section").agg(F.min("position").alias("first"))
     return placed.join(F.broadcast(first), "section").select("section", "doc_id", (F.col("position") - F.col("first") + 1).alias("number"))
@@ -61,7 +80,7 @@ def neighbours(numbered: DataFrame) -> DataFrame:
 def master_index(docs: DataFrame, sections: DataFrame, collation: str | None = None) -> DataFrame:
     """(doc_id, number) over the documents of sections that count, by title, then doc_id."""
     counted = sections.where(~F.coalesce("excluded", F.lit(False))).select("section")
-    rows = docs.join(counted, "section", "left_semi").select("doc_id", key_of(F.col("title"), collation).alias("key"))
+    rows = docs.join(counted, "section", "left_semi").select("doc_id", title_key(docs, F.col("title"), collation).alias("key"))
     return positions(rows, ["key", "doc_id"]).select("doc_id", F.col("position").alias("number"))
 
 
@@ -100,7 +119,7 @@ def listing_numbers(docs: DataFrame, sections: DataFrame) -> DataFrame:
     used = docs.join(sections, "section").groupBy("section").agg((F.max(F.coalesce("grouped", F.lit(False))) | F.coalesce(F.max(F.col("group_name").isNotNull()), F.lit(False))).alias("uses"))
     rows = docs.join(sections.select("section", "section_pos", "sort"), "section").where("group_name is not null")
     first = rows.groupBy("section", "group_name").agg(F.min("doc_id").alias("seen"))
-    keyed = rows.join(first, ["section", "group_name"]).select("section", "section_pos", "doc_id", "seen", key_of(F.when(F.col("sort") != "file", F.col("title")), None).alias("key"))
+    keyed = rows.join(first, ["section", "group_name"]).select("section", "section_pos", "doc_id", "seen", title_key(docs, F.when(F.col("sort") != "file", F.col("title"))).alias("key"))
     placed = positions(keyed, ["section_pos", "seen", "key", "doc_id"])
     start = placed.groupBy("section").agg(F.min("position").alias("start"))
     labels = placed.join(start, "section").select("section", "doc_id", (F.col("position") - F.col("start") + 1).alias("in_groups"))

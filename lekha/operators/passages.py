@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekha.functions import text as t
-from lekha.operators.listings import positions
+from lekha.operators.listings import positions, title_key
 
 
 def _offsets(profile: str, least: int):
@@ -97,7 +97,7 @@ def group_order(docs: DataFrame, sections: DataFrame) -> DataFrame:
     rows = docs.join(sections.where("grouped").select("section", "section_pos"), "section")
     first = rows.where("group_name is not null").groupBy("section", "group_name").agg(F.min("doc_id").alias("seen"))
     keyed = rows.join(first, ["section", "group_name"], "left").select(
-        "section", "section_pos", "doc_id", F.col("seen").isNull().alias("loose"), F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("title", F.lit("")).alias("key"))
+        "section", "section_pos", "doc_id", F.col("seen").isNull().alias("loose"), F.coalesce("seen", F.lit(0)).alias("seen"), title_key(docs, F.col("title")).alias("key"))
     placed = positions(keyed, ["section_pos", "loose", "seen", "key", "doc_id"])
     start = placed.groupBy("section").agg(F.min("position").alias("start"))
     return placed.join(start, "section").select("section", "doc_id", (F.col("position") - F.col("start") + 1).alias("number"))

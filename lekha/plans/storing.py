@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lekha.functions import text as t
 from lekha.operators import documents as d
-from lekha.operators import edits, postings
+from lekha.operators import edits, listings, passages, postings, scans, words
 from lekha.plans import publishing, registry
 from lekha.plans.shared import new_path, table
 from lekha.sources import store
@@ -112,7 +112,40 @@ def gram_counts(spark, sf):
     return postings.gram_counts(spark, _indexed(spark, sf)).select("gram", "n")
 
 
-QUERIES = {f.__name__: f for f in (search_index, search_index_short, gram_counts, edit_outcomes, edited_docs, names_in_one_folder, store_commit, store_versions, cleaned_docs)}
+def collated_listings(spark, sf):
+    """All orders and numbers by title in Hindi order, from one stored rank."""
+    docs, sections = listings.with_title_ranks(publishing._docs(spark, sf)), publishing._sections(spark)
+    out = listings.listing_numbers(docs, sections).join(listings.display_order(docs, sections).withColumnRenamed("number", "display"), ["section", "doc_id"])
+    out = out.join(passages.group_order(docs, sections).withColumnRenamed("number", "in_groups"), ["section", "doc_id"], "left")
+    return out.join(listings.master_index(docs, sections).withColumnRenamed("number", "in_index"), "doc_id", "left").select("section", "doc_id", "anchor", "label", "display", "in_groups", "in_index")
+
+
+def scan_retractions(spark, sf):
+    """The scan's summary after documents went, others were replaced by benchmark texts, and words were dropped; and that of a fresh scan."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    trusted = words.dictionary(docs.join(labels, "doc_id", "left_semi"), registry.PROFILE)
+    scanned, path = docs.join(labels, "doc_id", "left_anti").select("doc_id", "text"), new_path(spark, "scan")
+    scans.scan(scanned, path, registry.PROFILE)
+    new = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    scans.replace(spark, path, scanned.where("doc_id % 7 = 0"), None, registry.PROFILE)
+    scans.replace(spark, path, new, new, registry.PROFILE)
+    dropped = table(spark, sf, "benchmark").select(F.explode(t.clean_tokens(F.col("text"), registry.PROFILE)).alias("word")).distinct()
+    return scans.summary(spark, path, trusted, dropped)
+
+
+def vocab_sketches(spark, sf):
+    """Distinct words by section and in all, exact, and whether the estimate of merged sketches is within three percent."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("section"), "text")
+    path = new_path(spark, "sketches")
+    for k in range(3):  # three runs of a part of the documents each
+        scans.vocabulary_sketches(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k), registry.PROFILE).write.mode("append").parquet(path)
+    found = scans.vocabulary_estimates(spark.read.schema("section string, sketch binary").parquet(path))
+    exact = words.vocabulary_sizes(table(spark, sf, "documents"), registry.PROFILE)
+    both = exact.withColumnRenamed("section", "s").join(found, F.col("s").eqNullSafe(F.col("section")))
+    return both.select("section", "n_words", (F.abs(F.col("estimate") - F.col("n_words")) <= 0.03 * F.col("n_words")).alias("is_near"))
+
+
+QUERIES = {f.__name__: f for f in (collated_listings, scan_retractions, vocab_sketches, search_index, search_index_short, gram_counts, edit_outcomes, edited_docs, names_in_one_folder, store_commit, store_versions, cleaned_docs)}
 
 _FOLD = """
     docs AS (SELECT doc_id AS path, md5(coalesce(text, '')) AS sha, text FROM documents),
@@ -137,7 +170,22 @@ _LEFT = "['Google Sites', 'Report abuse', 'SKIP to main content', 'Skip to navig
 
 _LINES = r"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), n AS (SELECT doc_id, line_no, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS line FROM l)"
 
+_HI = "title COLLATE hi"
+
 SQL = {
+    "collated_listings": f"""WITH {publishing._D}, j AS (SELECT * FROM d JOIN s USING (section)),
+        a AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN sort = 'file' OR grouped THEN '' ELSE title END COLLATE hi, doc_id) AS anchor, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN sort = 'file' THEN '' ELSE title END COLLATE hi, doc_id) AS display,
+            min(doc_id) OVER (PARTITION BY section, group_name) AS seen, grouped OR count(group_name) OVER (PARTITION BY section) > 0 AS uses FROM j),
+        l AS (SELECT section, doc_id, row_number() OVER (PARTITION BY section ORDER BY seen, CASE WHEN sort = 'file' THEN '' ELSE title END COLLATE hi, doc_id) AS label FROM a WHERE group_name IS NOT NULL),
+        g AS (SELECT section, doc_id, row_number() OVER (PARTITION BY section ORDER BY group_name IS NULL, CASE WHEN group_name IS NULL THEN 0 ELSE seen END, {_HI}, doc_id) AS in_groups FROM a WHERE grouped),
+        x AS (SELECT doc_id, row_number() OVER (ORDER BY {_HI}, doc_id) AS in_index FROM j WHERE NOT excluded)
+        SELECT a.section, a.doc_id, anchor, CASE WHEN uses THEN label ELSE anchor END AS label, display, in_groups, in_index FROM a LEFT JOIN l USING (section, doc_id) LEFT JOIN g USING (section, doc_id) LEFT JOIN x USING (doc_id)""",
+    "scan_retractions": """WITH q AS (SELECT doc_id FROM labels WHERE quality = 1), tr AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE doc_id IN (SELECT doc_id FROM q)),
+        now AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM q) AND doc_id % 7 <> 0 AND doc_id NOT IN (SELECT item_id FROM benchmark) UNION ALL SELECT item_id, text FROM benchmark),
+        w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM now), v AS (SELECT word FROM w WHERE length(word) >= 2), dr AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
+        u AS (SELECT word FROM v WHERE word NOT IN (SELECT word FROM tr) AND word NOT IN (SELECT word FROM dr))
+        SELECT (SELECT count(*) FROM now) AS n_docs, (SELECT count(DISTINCT word) FROM v) AS n_words, (SELECT count(DISTINCT word) FROM u) AS n_unknown, (SELECT count(*) FROM u) AS n_occurrences""",
+    "vocab_sketches": f"SELECT *, true AS is_near FROM ({registry.SQL['vocab_by_section']})",
     "search_index": registry.SQL["search"],
     "search_index_short": f"WITH {_LINES}, q AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), h AS (SELECT lang AS query_id, doc_id, CAST(min(line_no) AS BIGINT) AS line_no FROM q JOIN n ON contains(line, lang) GROUP BY ALL) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank, doc_id, line_no FROM h",
     "gram_counts": f"WITH {_LINES}, g AS (SELECT DISTINCT doc_id, line_no, substr(line || chr(10) || chr(10), i, 3) AS gram FROM n, unnest(range(1, length(line) + 1)) u(i) WHERE line <> '') SELECT gram, count(*) AS n FROM g GROUP BY gram",

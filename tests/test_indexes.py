@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lekha.functions import text as t
 from lekha.operators import documents, postings
 from lekha.operators import words as w
+from lekha.sources import appends
 
 
 def found(frame):
@@ -50,7 +51,7 @@ def test_a_failed_addition_is_not_read(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         postings.add(spark.range(5).select(F.col("id").alias("doc_id"), F.expr("if(id = 4, raise_error('lost'), 'good line')").alias("text")), path)
     asked = spark.createDataFrame([(1, "good")], "query_id long, query string")
-    assert found(postings.search(spark, path, asked)) == [(1, 1, 1, 0)] and len(postings.batches(spark, path)) == 1
+    assert found(postings.search(spark, path, asked)) == [(1, 1, 1, 0)] and len(appends.batches(spark, path)) == 1
 
 
 def test_titles_are_line_minus_one(spark, tmp_path):
