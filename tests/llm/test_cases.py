@@ -85,7 +85,7 @@ def test_warc_paths_mean_the_same_everywhere(spark, tmp_path, monkeypatch):
         assert warc.resolved(spark, "/user/x") == "hdfs://name:8020/user/x"
         conf.set("fs.defaultFS", "file:///")
         assert warc.resolved(spark, "/user/x") == "file:/user/x" and warc.resolved(spark, "s3a://b/x") == "s3a://b/x"
-        monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077")
+        monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
         with pytest.raises(ValueError, match="share"):
             warc.resolved(spark, "/user/x")
         assert warc.resolved(spark, "file:///shared/x") == "file:///shared/x"
