@@ -213,22 +213,23 @@ def structured(text: Column, title: Column | None = None) -> Column:
 def scored(norm: Column, title: Column) -> Column:
     """A struct of score (0 to 100), tier, reasons, flags, auto_format, review, manual for a structured text.
 
-    Ranges and weights are fixed values; all of an empty text's are least.
+    Ranges, first values and points are fixed values; all of an empty text's are least.
     """
     sthayi, paragraphs, strategy, n_lines = norm.sthayi, norm.paragraphs, norm.strategy, norm.line_count
     k = F.size(paragraphs)
     verses = F.flatten(F.transform(paragraphs, lines_of))
     by_stanzas, by_lines = strategy == "stanza-blocks", strategy == "first-line-sthayi"
-    # (condition, points, reason, flag)
+    # What each strategy begins with, and (condition, points, reason, flag).
+    begin = F.when(by_stanzas, 88).when(by_lines, 72).when(strategy == "single-line", 38).otherwise(50)
     rules = [
-        (by_stanzas, 38, "stanza-blocks-no-refrain-lines", None),
+        (by_stanzas, 0, "stanza-blocks-no-refrain-lines", None),
         (by_stanzas & (F.size(lines_of(sthayi)) <= 4) & (k >= 1), 4, "clear-sthayi-block", None),
-        (by_lines, 22, "one-line-per-paragraph", None),
+        (by_lines, 0, "one-line-per-paragraph", None),
         (by_lines & refrain_tail(F.concat(F.array(sthayi), verses)).isNotNull(), 14, "refrain-hook-in-most-lines", None),
         (by_lines & k.between(2, 15), 8, "typical-bhajan-shape", None),
         (by_lines & (k > 20), -12, None, "many-single-line-paragraphs"),
         (by_lines & k.between(16, 20), -4, None, "long-song-many-verses"),
-        (strategy == "single-line", -12, "only-one-line", "needs-manual-structure"),
+        (strategy == "single-line", 0, "only-one-line", "needs-manual-structure"),
         (F.exists(F.concat(F.array(sthayi), verses), is_heading), -35, None, "heading-line-in-lyrics"),
         (n_lines > 35, -10, None, "very-long-song"),
         ((trimmed(title) != "") & (sthayi != "") & (trimmed(title) == trimmed(sthayi)), -15, None, "sthayi-equals-title"),
@@ -236,9 +237,9 @@ def scored(norm: Column, title: Column) -> Column:
     holds = F.array(*[F.coalesce(c, F.lit(False)) for c, *_ in rules])
 
     def total(hs: Column) -> Column:
-        points = F.lit(50)
+        points = begin
         for i, (_, p, _, _) in enumerate(rules):
-            points = points + F.when(hs[i], p).otherwise(0)
+            points = points + F.when(hs[i], p).otherwise(0) if p else points
         names = lambda at: F.array_compact(F.array(*[F.when(hs[i], F.lit(r[at])) for i, r in enumerate(rules) if r[at]]))
         return F.struct(F.least(F.lit(100), F.greatest(F.lit(0), points)).alias("score"), names(2).alias("reasons"), names(3).alias("flags"))
 

@@ -153,6 +153,12 @@ def snippet(text: Column, most: int = 100) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most - 1), F.lit("…"))).otherwise(x)
 
 
+def excerpt(text: Column, most: int = 120) -> Column:
+    """The text, blanks collapsed, its first characters and an ellipsis after them if there are more."""
+    x = edgeless(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("…"))).otherwise(x)
+
+
 def cluster_id(forms: Column) -> Column:
     return F.substring(F.md5(F.array_join(F.array_sort(forms), "|").cast("binary")), 1, 12)
 

@@ -92,7 +92,7 @@ def merged_sketches(sketches: DataFrame) -> DataFrame:
 
 
 def vocabulary_estimates(sketches: DataFrame) -> DataFrame:
-    """(section, estimate) of distinct words by section, and of all sections together with a null section; documents without a section count in that alone."""
+    """(section, estimate) of distinct words by section, and of all sections together with a null section; documents without a section count in that alone. Without words the whole is 0."""
     whole = sketches.agg(F.hll_union_agg("sketch").alias("sketch")).where("sketch is not null").select(F.lit(None).cast("string").alias("section"), "sketch")
     rows = merged_sketches(sketches.where("section is not null")).unionByName(whole)
     return rows.select("section", F.hll_sketch_estimate("sketch").alias("estimate"))

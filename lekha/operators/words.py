@@ -54,6 +54,13 @@ def vocabulary_sizes(docs: DataFrame, profile: str) -> DataFrame:
     return pairs.groupBy("section").agg(F.count("*").alias("n_words")).unionByName(pairs.select("word").distinct().agg(F.count("*").alias("n_words")).withColumn("section", F.lit(None).cast("string")))
 
 
+def lexicon_sides(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(word, side) of the words of two lists (word): first, second or both, each word once; nulls are left out."""
+    marked = first.select("word", F.lit(1).alias("k")).unionByName(second.select("word", F.lit(2).alias("k"))).where("word is not null")
+    sides = marked.groupBy("word").agg(F.max(F.col("k") == 1).alias("a"), F.max(F.col("k") == 2).alias("b"))
+    return sides.select("word", F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "first").otherwise("second").alias("side"))
+
+
 def variant_pairs(words: DataFrame) -> DataFrame:
     """(a, b, distance), a < b, of words within the variants' bound: two edits where both have five letters or more, else one."""
     words = written(words.select("word"), "words")

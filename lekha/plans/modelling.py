@@ -269,6 +269,34 @@ _LINT = f"""WITH {_T}, r AS (SELECT *, doc_id % 8 AS k, EXISTS (SELECT 1 FROM c
     UNION ALL SELECT CAST(doc_id AS VARCHAR), 'warning', 'deprecated_key', 'dhvani', 3 FROM r WHERE k = 6"""
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
+_NORM = r"trim(regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '[॥|]', '', 'g'))"
+_BODY = r"trim(regexp_replace({x}, '(\s*(\|\|\s*[^|]+\s*\|\|)|(\s*॥+))\s*$', ''))"
+_BARE = r"trim(regexp_replace(regexp_replace(regexp_replace({x}, '!+[0-9]+!+', '', 'g'), '\|\|\s*[0-9]+\s*\|\|', '', 'g'), '\s\s+', ' ', 'g'))"
+
+
+def _repeats_sql(line: str, hooks: str) -> str:
+    """Whether a line is blank, cut by ellipses, or only repeats a hook."""
+    body, short = _BODY.format(x=line), "string_split(hook, ',')[1]"
+    one = f"""list_bool_or([false] || list_transform({hooks}, lambda hook: {_NORM.format(x='hook')} <> '' AND ({_NORM.format(x=body)} = {_NORM.format(x='hook')} OR length({_NORM.format(x=short)}) >= 8 AND {_NORM.format(x=body)} = {_NORM.format(x=short)}
+        OR length({_NORM.format(x=short)}) >= 10 AND starts_with({_NORM.format(x=body)}, {_NORM.format(x=short)}) AND length({body}) <= length(hook) + 10 AND NOT contains({body}, ','))))"""
+    return f"({line} = '' OR contains({line}, '...') OR (NOT (contains({body}, ',') AND length({body}) > 48) AND {one}))"
+
+
+_STANZAS = rf"""w AS (SELECT doc_id, regexp_replace(regexp_replace(whole, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM x),
+    ln AS (SELECT doc_id, body, list_filter(list_transform(string_split(body, chr(10)), lambda v: regexp_replace(v, '^\s+|\s+$', '', 'g')), lambda v: v <> '') AS ls,
+        list_filter(list_transform(string_split_regex(body, '\n\s*\n+'), lambda v: regexp_replace(v, '^\s+|\s+$', '', 'g')), lambda v: v <> '') AS bs FROM w),
+    hk AS (SELECT *, list_filter([trim(string_split(ls[1], ',')[1])], lambda v: v IS NOT NULL AND length(v) >= 6) AS hooks FROM ln),
+    bl AS (SELECT doc_id, hooks, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM hk),
+    bq AS (SELECT doc_id, i, hooks, list_filter(list_transform(string_split(b, chr(10)), lambda v: regexp_replace(v, '^\s+|\s+$', '', 'g')), lambda v: v <> '') AS bls FROM bl),
+    bu AS (SELECT doc_id, i, hooks, unnest(bls) AS v, generate_subscripts(bls, 1) AS k FROM bq),
+    sz AS (SELECT doc_id, i, string_agg(v, chr(10) ORDER BY k) AS s, regexp_replace(string_agg({_BARE.format(x='v')}, ' ' ORDER BY k), '\s+', ' ', 'g') AS flat FROM bu WHERE NOT {_repeats_sql('v', 'hooks')} GROUP BY doc_id, i),
+    so AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, first_value(flat) OVER (PARTITION BY doc_id ORDER BY i) AS head FROM sz),
+    st AS (SELECT doc_id, list(s ORDER BY i) AS xs FROM so WHERE r = 1 OR NOT (flat <> '' AND head <> '' AND (flat = head OR starts_with(flat, head[:40]) OR starts_with(head, flat[:40]))) GROUP BY doc_id),
+    ou AS (SELECT doc_id, ls, len(ls) AS n, len(bs) AS k, coalesce(xs, []) AS xs, len(xs) > 1 AND NOT contains(xs[1], chr(10)) AND contains(xs[2], chr(10)) AND len(string_split(xs[2], chr(10))) <= 4 AS joins FROM hk LEFT JOIN st USING (doc_id)),
+    fi AS (SELECT doc_id, CASE WHEN k >= 2 AND len(xs) = 0 THEN 'empty-blocks' WHEN k >= 2 THEN 'stanza-blocks' WHEN n >= 2 THEN 'first-line-sthayi' WHEN n = 1 THEN 'single-line' ELSE 'empty' END AS strategy,
+        CASE WHEN k >= 2 AND len(xs) = 0 OR n = 0 THEN '' WHEN k >= 2 AND joins THEN xs[1] || chr(10) || xs[2] WHEN k >= 2 THEN xs[1] ELSE {_BODY.format(x='ls[1]')} END AS sthayi,
+        CASE WHEN k >= 2 AND joins THEN xs[3:] WHEN k >= 2 THEN xs[2:] WHEN n >= 2 THEN list_transform(ls[2:], lambda v: {_BARE.format(x='v')}) ELSE [] END AS ps, n AS line_count, CASE WHEN k >= 2 THEN k WHEN n > 0 THEN 1 ELSE 0 END AS block_count FROM ou)"""
+
 SQL = {
     "model_fields": f"""WITH {_T}, a AS (SELECT doc_id, 0 AS o, 'title' AS field, NULL::VARCHAR AS kind, title AS text FROM x
         UNION ALL SELECT doc_id, 1, 'lyrics', NULL, whole FROM x WHERE doc_id % 4 = 2 UNION ALL SELECT doc_id, 1, 'lyrics.sthayi', NULL, first FROM x WHERE doc_id % 4 < 2
@@ -335,4 +363,6 @@ SQL = {
             CASE WHEN n < 0 THEN 'empty-lyrics' ELSE array_to_string(list_filter([CASE WHEN n >= 1 THEN 'one-line-per-paragraph' END, CASE WHEN n >= 1 AND tail THEN 'refrain-hook-in-most-lines' END, CASE WHEN n BETWEEN 2 AND 15 THEN 'typical-bhajan-shape' END, CASE WHEN n = 0 THEN 'only-one-line' END], lambda v: v IS NOT NULL), ',') END AS reasons,
             CASE WHEN n < 0 THEN 'empty' ELSE array_to_string(list_filter([CASE WHEN n > 20 THEN 'many-single-line-paragraphs' END, CASE WHEN n BETWEEN 16 AND 20 THEN 'long-song-many-verses' END, CASE WHEN n = 0 THEN 'needs-manual-structure' END, CASE WHEN heading THEN 'heading-line-in-lyrics' END, CASE WHEN n + 1 > 35 THEN 'very-long-song' END, CASE WHEN same THEN 'sthayi-equals-title' END], lambda v: v IS NOT NULL), ',') END AS flags,
             score >= 80 AS auto_format, score BETWEEN 60 AND 79 AS review, score < 60 AS manual FROM s""",
+    "refrain_lines": f"WITH {_T}, {_LINES}, {_HOOKS}, rl AS (SELECT doc_id, hooks, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS pos FROM h) SELECT doc_id, pos, line FROM rl WHERE {_repeats_sql('line', 'hooks')}",
+    "structured_texts": f"WITH {_T}, {_STANZAS} SELECT doc_id, strategy, sthayi, len(ps) AS n_paragraphs, array_to_string(ps, chr(10) || chr(10)) AS paragraphs, line_count, block_count FROM fi",
 }

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lekha.functions import text as t
 from lekha.operators import documents as d
 from lekha.operators import edits, listings, passages, postings, scans, words
-from lekha.plans import publishing, registry
-from lekha.plans.shared import new_path, table
+from lekha.plans import correction, modelling, publishing, registry
+from lekha.plans.shared import new_path, table, written
 from lekha.sources import store
 
 
@@ -145,7 +145,30 @@ def vocab_sketches(spark, sf):
     return both.select("section", "n_words", (F.abs(F.col("estimate") - F.col("n_words")) <= 0.03 * F.col("n_words")).alias("is_near"))
 
 
-QUERIES = {f.__name__: f for f in (collated_listings, scan_retractions, vocab_sketches, search_index, search_index_short, gram_counts, edit_outcomes, edited_docs, names_in_one_folder, store_commit, store_versions, cleaned_docs)}
+def lexicon_sides(spark, sf):
+    """The words of conversations against those of documents: known ones, new ones, and ones that no conversation uses."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("").alias("lang"), "text")
+    return words.lexicon_sides(words.dictionary(turns, registry.PROFILE), words.dictionary(table(spark, sf, "documents"), registry.PROFILE))
+
+
+def lexicon_side_counts(spark, sf):
+    return lexicon_sides(spark, sf).groupBy("side").agg(F.count("*").alias("n"))
+
+
+def unknown_suggested(spark, sf):
+    """Unknown words of conversations by field, but only those that a document's word is near enough to suggest."""
+    docs = table(spark, sf, "documents")
+    counts = words.word_counts(docs, registry.PROFILE, cleaned=True)
+    flagged = words.flagged_fields(modelling.model.collect_fields(modelling.docs(spark, sf)), counts, registry.PROFILE)
+    flagged = written(flagged, "flagged")
+    return words.unknown_clusters(flagged, words.suggestions(flagged.select("word"), counts))
+
+
+def excerpts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.excerpt(F.col("text")).alias("excerpt"))
+
+
+QUERIES = {f.__name__: f for f in (lexicon_sides, lexicon_side_counts, unknown_suggested, excerpts, collated_listings, scan_retractions, vocab_sketches, search_index, search_index_short, gram_counts, edit_outcomes, edited_docs, names_in_one_folder, store_commit, store_versions, cleaned_docs)}
 
 _FOLD = """
     docs AS (SELECT doc_id AS path, md5(coalesce(text, '')) AS sha, text FROM documents),
@@ -171,8 +194,16 @@ _LEFT = "['Google Sites', 'Report abuse', 'SKIP to main content', 'Skip to navig
 _LINES = r"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), n AS (SELECT doc_id, line_no, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS line FROM l)"
 
 _HI = "title COLLATE hi"
+_SIDES = """a AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations) WHERE length(word) >= 2), b AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) >= 2),
+    z AS (SELECT coalesce(a.word, b.word) AS word, CASE WHEN b.word IS NULL THEN 'first' WHEN a.word IS NULL THEN 'second' ELSE 'both' END AS side FROM a FULL JOIN b ON a.word = b.word)"""
 
 SQL = {
+    "lexicon_sides": f"WITH {_SIDES} SELECT * FROM z",
+    "lexicon_side_counts": f"WITH {_SIDES} SELECT side, count(*) AS n FROM z GROUP BY side",
+    "unknown_suggested": f"""{correction._UNKNOWN}, kn AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), u AS (SELECT DISTINCT word, CASE WHEN length(word) <= 3 THEN 1 WHEN length(word) <= 6 THEN 2 ELSE greatest(2, CAST(floor(length(word) * 0.32) AS INT)) END AS most FROM z),
+        g AS (SELECT DISTINCT word FROM u JOIN kn ON length(w) >= 2 AND abs(length(word) - length(w)) <= most AND levenshtein(word, w) <= most)
+        SELECT word, CAST(sum(n) OVER (PARTITION BY word) AS BIGINT) AS total, path, field, n FROM z SEMI JOIN g USING (word)""",
+    "excerpts": r"SELECT doc_id, CASE WHEN length(x) > 120 THEN x[:120] || '…' ELSE x END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents)",
     "collated_listings": f"""WITH {publishing._D}, j AS (SELECT * FROM d JOIN s USING (section)),
         a AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN sort = 'file' OR grouped THEN '' ELSE title END COLLATE hi, doc_id) AS anchor, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN sort = 'file' THEN '' ELSE title END COLLATE hi, doc_id) AS display,
             min(doc_id) OVER (PARTITION BY section, group_name) AS seen, grouped OR count(group_name) OVER (PARTITION BY section) > 0 AS uses FROM j),

@@ -18,8 +18,13 @@ def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(word.alias("word")).where("word <> '' and not word rlike '^[0-9]+$'").distinct()
 
 
-def write_wordlist(words: DataFrame, path: str) -> None:
-    """Write the count, then the distinct words (word) in order, over text files whose names keep that order."""
+def write_wordlist(words: DataFrame, path: str, collation: str | None = None) -> None:
+    """Write the count, then the distinct words (word) in order, over text files whose names keep that order.
+
+    The order is that of code points, or of a collation (hi), and of code points
+    where that holds words equal.
+    """
     rows = words.where("word is not null").select("word").distinct()
     lines = rows.agg(F.count("*").cast("string").alias("value")).select(F.lit(0).alias("k"), "value").unionByName(rows.select(F.lit(1).alias("k"), F.col("word").alias("value")))
-    lines.orderBy("k", "value").select("value").write.text(path)
+    order = ["value"] if collation is None else [F.collate("value", collation), "value"]
+    lines.orderBy("k", *order).select("value").write.text(path)

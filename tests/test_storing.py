@@ -172,3 +172,18 @@ def test_offsets_of_a_long_text(spark):
     assert len(got) == 4 * 5000 + 1 and {r.doc_id for r in got} == {1, None}
     clean = {"१राम।": "राम", "श्री": "श्री", "रा": "रा", "क्ष॥": "क्ष"}
     assert all(clean[text[r.start : r.stop]] == r.word for r in got if r.doc_id == 1)
+
+
+def test_wordlists_in_collated_order(spark, tmp_path):
+    from lekha.sources import files
+
+    words = ["ख", "का", "क", "zeta", "Alpha", "alpha", "ज़", "ज"]
+    files.write_wordlist(spark.createDataFrame([(w,) for w in [*words, "क", None]], "word string"), f"file://{tmp_path}/w", collation="hi")
+    lines = [x for p in sorted((tmp_path / "w").glob("part-*")) for x in p.read_text().splitlines()]
+    want = [r.w for r in spark.createDataFrame([(w,) for w in words], "w string").orderBy(F.collate("w", "hi"), "w").collect()]
+    assert lines == [str(len(words)), *want] and lines[1:] != sorted(words)
+    assert {r.word for r in files.read_wordlist(spark, f"file://{tmp_path}/w").collect()} == set(words)
+
+
+def test_excerpts_keep_their_length(spark):
+    assert one(spark, " a\n b ", lambda c: t.excerpt(c, 3)) == "a b" and one(spark, "राम राम", lambda c: t.excerpt(c, 4)) == "राम …"[:4] + "…"
