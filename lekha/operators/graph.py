@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from lekha.plans.shared import join_groups, written
 
 
+#: Up to so many edges no hub is too large for a plain join, and a round is one job.
+FEW = 200_000
+
+
 def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """edges (u, v) with m of their u; hubs are joined apart."""
+    """edges (u, v) with m of their u; hubs are joined apart, unless all edges are few."""
+    if n <= 2 * FEW:
+        return edges.join(least.drop("k"), "u")
     return join_groups(edges, written(least, "least"), ["u"], "k", n)
 
 
@@ -47,7 +53,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     n, mark = now.count(), None
     for _ in range(max_rounds if n else 0):
         # neither star makes more edges than it is given, so n bounds what the hubs of both are measured by
-        now = written(_small_star(written(_large_star(now, n), "large_star"), n), "round")
+        large = _large_star(now, n)
+        now = written(_small_star(large if n <= FEW else written(large, "large_star"), n), "round")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break

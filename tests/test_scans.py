@@ -71,3 +71,20 @@ def test_ranks_sort_as_the_collation(spark, collation):
     groups = sorted((r.number, r.doc_id) for r in passages.group_order(ranked, sections).collect())
     want = sorted(range(10), key=lambda i: (i % 2 == 0, rank[i], i))
     assert [i for _, i in groups] == want
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    from lekha.operators import graph
+
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(few)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 230)] + [(7, 7), (None, 3)]
+    root = {}
+    find = lambda i: i if root.setdefault(i, i) == i else find(root[i])
+    for u, v in edges:
+        if u is not None and u != v:
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    got = graph.connected_components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r.node: r.component for r in got.collect()} == {i: find(i) for i in list(root)}
