@@ -234,10 +234,10 @@ def scored(norm: Column, title: Column) -> Column:
         (n_lines > 35, -10, None, "very-long-song"),
         ((trimmed(title) != "") & (sthayi != "") & (trimmed(title) == trimmed(sthayi)), -15, None, "sthayi-equals-title"),
     ]
-    holds = F.array(*[F.coalesce(c, F.lit(False)) for c, *_ in rules])
+    holds = F.struct(begin.alias("begin"), F.array(*[F.coalesce(c, F.lit(False)) for c, *_ in rules]).alias("rules"))
 
-    def total(hs: Column) -> Column:
-        points = begin
+    def total(held: Column) -> Column:
+        points, hs = held.begin, held.rules
         for i, (_, p, _, _) in enumerate(rules):
             points = points + F.when(hs[i], p).otherwise(0) if p else points
         names = lambda at: F.array_compact(F.array(*[F.when(hs[i], F.lit(r[at])) for i, r in enumerate(rules) if r[at]]))
