@@ -25,7 +25,7 @@ def nothing() -> Column:
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.trim(x, F.lit(t.BLANKS))
 
 
 def some(x: Column) -> Column:
@@ -102,12 +102,12 @@ def is_refrain_only(line: Column, phrases: Column) -> Column:
     """A line that only repeats a hook, or that ellipses cut short; a blank one too."""
 
     def repeats(body: Column) -> Column:
-        def one(hook: Column) -> Column:
-            b, h, short = norm_line(body), norm_line(hook), norm_line(F.substring_index(hook, ",", 1))
+        def one(b: Column, hook: Column) -> Column:
+            h, short = norm_line(hook), norm_line(F.substring_index(hook, ",", 1))
             starts = (F.length(short) >= 10) & b.startswith(short) & (F.length(body) <= F.length(hook) + 10) & ~body.contains(",")
             return (h != "") & ((b == h) | (F.length(short) >= 8) & (b == short) | starts)
 
-        return ~(body.contains(",") & (F.length(body) > 48)) & F.exists(phrases, one)
+        return ~(body.contains(",") & (F.length(body) > 48)) & t.bound(norm_line(body), lambda b: F.exists(phrases, lambda hook: one(b, hook)))
 
     x = trimmed(line)
     return (x == "") | x.contains("...") | t.bound(t.end_marker(x).body, repeats)
@@ -215,6 +215,10 @@ def scored(norm: Column, title: Column) -> Column:
 
     Ranges, first values and points are fixed values; all of an empty text's are least.
     """
+    return t.bound(norm, lambda x: _scored(x, title))
+
+
+def _scored(norm: Column, title: Column) -> Column:
     sthayi, paragraphs, strategy, n_lines = norm.sthayi, norm.paragraphs, norm.strategy, norm.line_count
     k = F.size(paragraphs)
     verses = F.flatten(F.transform(paragraphs, lines_of))

@@ -17,6 +17,8 @@ PROFILES = {
 }
 EDGES = r"[0-9।-ॿ‌‍]+"
 SPACE = r"[\s   -     　﻿]"
+#: The same blanks one by one: trimming by these needs no search.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 # Common words that a variant scan leaves out.
@@ -107,7 +109,7 @@ def line_end(line: Column, mark: str = "।", double: str = "॥") -> Column:
             .when(F.substring(bare, -2, 1) == mark, cut(1))
             .otherwise(F.concat(cut(1), F.lit(mark))))
 
-    return bound(F.regexp_replace(line, f"{SPACE}+$", ""), ended)
+    return bound(F.rtrim(line, F.lit(BLANKS)), ended)
 
 
 def line_ends(text: Column) -> Column:
@@ -118,12 +120,12 @@ def line_ends(text: Column) -> Column:
 BOILERPLATE = (
     "^Google Sites$", "^Report abuse$", "^Skip to main content$", "^Skip to navigation$", "^Embedded Files$", "^Search this site$",
     "^DOCS_timing(?![A-Za-z0-9_])", "^window\\.WIZ_", "^Page built by Google")
-JUNK = "(?i)" + "|".join(BOILERPLATE)
+JUNK = "(?i)^(?:" + "|".join(x[1:] for x in BOILERPLATE) + ")"
 
 
 def edgeless(text: Column) -> Column:
     """The text without blanks, newlines included, at its ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def without_lines(text: Column, pattern: str) -> Column:
@@ -199,10 +201,14 @@ _CUT_AFTER_MARK, _CUT_AT_BLANK = r"^(.+?॥)\s+.+?\.\.\.\s*$", r"\s+.+?\.\.\.\s*
 
 
 def without_verse_numbers(line: Column) -> Column:
-    """The line without verse numbers inside it and at its end, blanks collapsed."""
+    """The line without verse numbers inside it and at its end, blanks collapsed.
+
+    Lines without any of the numbers' marks, most of all lines, are only trimmed.
+    """
+    x = line
     for pattern in (rf"[।॥]+\s*{_DIGIT}+\s*[।॥]*", rf"!+{_DIGIT}+!+", rf"\|\|\s*{_DIGIT}+\s*\|\|", _TAIL):
-        line = F.regexp_replace(line, pattern, "")
-    return F.trim(F.regexp_replace(line, r"\s{2,}", " "))
+        x = F.regexp_replace(x, pattern, "")
+    return F.trim(F.when(line.rlike(r"[।॥!|]|\s\s"), F.regexp_replace(x, r"\s{2,}", " ")).otherwise(line))
 
 
 def end_marker(line: Column) -> Column:
@@ -212,7 +218,8 @@ def end_marker(line: Column) -> Column:
         F.when(inner.rlike("^(टेर|तेर)$"), "टेर").when(inner.rlike(f"^{_DIGIT}+$"), "numbered")
         .when(F.regexp_extract(line, _MARKER, 2) != "", "॥").when(inner != "", inner)
     )
-    return F.struct(F.trim(F.regexp_replace(line, _MARKER, "")).alias("body"), marker.alias("marker"))
+    body = F.when(line.rlike(r"[॥|]"), F.regexp_replace(line, _MARKER, "")).otherwise(line)
+    return F.struct(F.trim(body).alias("body"), marker.alias("marker"))
 
 
 def without_refrain_shorthand(line: Column) -> Column:

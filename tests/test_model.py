@@ -45,6 +45,20 @@ def test_tune(spark, text, tarz, rest):
     assert tuple(one(spark, text, y.tune)) == (tarz, rest)
 
 
+@pytest.mark.parametrize(("line", "bare", "body"), [
+    ("राम  आए", "राम आए", "राम  आए"), (" राम\tआए ", "राम\tआए", "राम\tआए"), ("राम आए ॥१॥", "राम आए", "राम आए ॥१"), ("राम !!२!! आए", "राम आए", "राम !!२!! आए"), ("राम आए ॥", "राम आए ॥", "राम आए"),
+    ("राम आए || टेर ||", "राम आए", "राम आए"), ("राम | आए", "राम | आए", "राम | आए"), ("", "", ""), (None, None, None)])
+def test_lines_with_and_without_marks(spark, line, bare, body):
+    assert (one(spark, line, t.without_verse_numbers), one(spark, line, lambda x: t.end_marker(x).body)) == (bare, body)
+
+
+def test_trimming_takes_every_kind_of_blank(spark):
+    blanks = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    for trim in (y.trimmed, t.edgeless):
+        assert [one(spark, x, trim) for x in (f"{blanks}राम {blanks}आए{blanks}", blanks, "", "\u200bराम", None)] == [f"राम {blanks}आए", "", "", "\u200bराम", None]
+    assert one(spark, f" राम{blanks}", t.line_end) == " राम।" and one(spark, blanks, t.line_end) == blanks
+
+
 def test_hooks_and_refrain_lines(spark):
     lines = ["श्याम प्यारे आ जाओ, दर्शन दे दो", "दूसरी पंक्ति"]
     assert many(spark, lines, lambda x: y.hooks(x, F.lit("मेरे मन के राम, आओ"))) == ["मेरे मन के राम, आओ", "मेरे मन के राम", "श्याम प्यारे आ जाओ"]
