@@ -311,7 +311,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, block: int =
     A document is its ids and the id 2, cut every capacity ids. Pieces are dealt
     to blocks by a hash of doc_id and start, so neither a giant document nor a
     hot source fills one block. Repeated rows are packed each on its own; rows
-    without a doc_id are left out; an empty table gives an empty result. A sequence's id is its block and its place there.
+    without a doc_id are left out; other columns are not read; an empty table gives
+    an empty result. A sequence's id is its block and its place there.
     """
     cut = written(pieces(docs.where("doc_id is not null"), tokenizer, capacity), "pieces")
     blocks = max(1, -(-cut.count() // block))

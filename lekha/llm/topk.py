@@ -108,8 +108,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, rows: int = ROWS,
 
     vectors and queries: (vec_id, v array<bigint>); a vector meets queries with as
     many dimensions. Fewer than k candidates give fewer rows; no queries or no
-    vectors give none. Rows with equal vec_id count as one vector each but, as a
-    query, all of them are its own. Every block of queries meets every block of
+    vectors give none. Rows that repeat a vec_id are candidates each. As queries they
+    are one query: rows with that id are its own, and what each of them finds is ranked
+    together, so a candidate stands there once for each different vector of the
+    query (equal rows are one). Other columns are not read. Every block of queries meets every block of
     vectors in a task of bounded size; a block gives k rows a query at most.
     """
     n_rows = max(1, -(-vectors.count() // rows))

@@ -30,6 +30,8 @@ TRAIN_DOCS = 24_000
 #: Words of the learned lexicon, at most, and the least weight and toxic documents of one.
 WORDS, LEAST_WEIGHT, LEAST_DOCS = 1500, 1.5, 6
 THRESHOLD = 0.3
+#: Where labels don't tell toxic from other documents: the toxic share of two rows that are added to them.
+PRIOR = 0.1
 #: Letters of a stem, and of the words that have one.
 STEM, STEMMED = 5, 7
 #: A learned word is a threat if at least this part of the toxic documents with it have it after words of intent.
@@ -210,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Model
     that the words which they are scored by were not learned from: two halves of
     the sample, each by the other's words, if both have both labels.
     Rows that repeat a doc_id count each, with its greatest label. Without both
-    labels the score is the labels' smoothed mean.
+    labels every score is the labels' mean, smoothed by PRIOR: without any, PRIOR
+    itself, which marks nothing as toxic. Null texts are left out, other columns not read.
     """
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = rows.count()
@@ -221,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) -> Model
     n = {(r.half, r.toxic > 0): r.n for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = (sum(x for (_, y), x in n.items() if y == of) for of in (True, False))
     if not n1 or not n0:
-        p = (n1 + 1) / (n1 + n0 + 2)
+        p = (n1 + 2 * PRIOR) / (n1 + n0 + 2)
         return Model({}, math.log(p / (1 - p)), (0.0, 0.0, 0.0))
     apart = all(n.get((h, y), 0) >= LEAST_DOCS for h in (0, 1) for y in (True, False))
     model = _lexicon(rows, n1, n0)
@@ -254,7 +257,12 @@ def grammar_of(model: Model) -> Grammar:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), predicted, best_clause of every document; a null or empty text has the score of no match."""
+    """doc_id, score (0 to 1), predicted, best_clause of every document, each by its own text alone.
+
+    A null or empty text has the score of no match. Rows that repeat a doc_id, or
+    that have none, have a row each; other columns are not read; an empty table
+    gives an empty result.
+    """
     grammar = grammar_of(model)
     rows = docs.select("doc_id", "text").mapInArrow(_features(grammar), "doc_id bigint, f0 double, f1 double, f2 double")
     z = F.lit(model.bias) + sum((F.col(f"f{k}") * float(s) for k, s in enumerate(model.slopes)), F.lit(0.0))

@@ -277,6 +277,38 @@ def test_topk_reads_lists_only_as_far_as_it_must():
     assert np.mean([p for _, p in read]) < 0.9
 
 
+def test_topk_repeated_missing_and_clashing(spark):
+    vectors = {1: [[1.0, 0.0]], 2: [[0.5, 0.5]], 3: [[0.0, 1.0], [0.0, 1.0]], 20: [[1.0, 0.0], [0.0, 2.0], [0.0, 2.0]], None: [[9.0, 9.0]]}
+    rows = [(i, v, True, "b", 7) for i, vs in vectors.items() for v in vs]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, query boolean, b string, rank int"))
+    got = [tuple(r) for r in topk.top_k(v, v.where("vec_id % 20 = 0"), k=5, rows=2, block=1).orderBy("rank").collect()]
+    asked = [tuple(int(64 * x) for x in q) for q in ([1.0, 0.0], [0.0, 2.0])]  # its equal rows are one
+    hits = [(-sum(int(64 * x) * y for x, y in zip(c, q)), i) for i, vs in vectors.items() if i not in (20, None) for c in vs for q in asked]
+    assert got == [(20, k + 1, i, -s) for k, (s, i) in enumerate(sorted(hits)[:5])]
+    none = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert topk.top_k(none, none).count() == topk.top_k(v, none).count() == topk.top_k(none, v).count() == 0
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    model = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(none, model).count() == 0
+    assert packing.pack(none, WORDS).count() == 0
+    assert sentencepiece_scan.summary(none, PIECES).count() == 0
+
+
+def test_toxicity_without_labels_marks_nothing(spark):
+    rows = [(1, "you fool", "x", 1), (1, "you fool", "y", 2), (2, None, "z", 3), (None, "", "w", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, f0 string, score int")
+    model = toxicity.fit(docs, spark.createDataFrame([(1, None)], "doc_id long, toxic int"))
+    got = toxicity.score(docs, model).collect()
+    assert sorted((r.doc_id or 0, round(r.score, 9), r.predicted) for r in got) == [(0, toxicity.PRIOR, 0), (1, toxicity.PRIOR, 0), (1, toxicity.PRIOR, 0), (2, toxicity.PRIOR, 0)]
+    # many rows of one label alone do decide
+    labels = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, toxic int")
+    texts = spark.createDataFrame([(i, "text") for i in range(8)], "doc_id long, text string")
+    assert {r.predicted for r in toxicity.score(texts, toxicity.fit(texts, labels)).collect()} == {1}
+
+
 def test_toxicity_learns_threats_and_stems(spark):
     rows = []
     for i in range(120):
