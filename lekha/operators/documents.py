@@ -196,11 +196,11 @@ def search(docs: DataFrame, queries: DataFrame, most: int | None = 15, titles: b
     met = None
     for size in [r.size for r in probes.select(F.length("gram").alias("size")).distinct().collect()] or [3]:  # at most three
         of = probes.where(F.length("gram") == size)
-        grams = body.select("doc_id", "line_no", "line", F.explode(_grams(F.col("line"), size)).alias("gram"))
-        found = grams.join(of, "gram").select("query_id", "doc_id", "line_no", "line")
+        grams = body.select("doc_id", "line_no", F.explode(_grams(F.col("line"), size)).alias("gram"))
+        found = grams.join(of, "gram").select("query_id", "doc_id", "line_no")
         met = found if met is None else met.union(found)
     every = words.groupBy("query_id").agg(F.collect_list("word").alias("words"))
-    full = met.join(every, "query_id").where(F.forall("words", lambda w: F.col("line").contains(w)))
+    full = met.join(body, ["doc_id", "line_no"]).join(every, "query_id").where(F.forall("words", lambda w: F.col("line").contains(w)))
     return first_matches(full, most)
 
 

@@ -28,8 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lekha/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lekha/{uuid.uuid4().hex}/{name}"
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Remove all that this application wrote into the shared folder; says whether there was anything.
+
+    Results not yet saved may still read these tables, so it is for the end of a job.
+    Other applications' tables stay; so does what this one saved elsewhere.
+    """
+    return remove(spark, _own_dir(spark))
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder of any file system that Spark reads; says whether it was there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

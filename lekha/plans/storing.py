@@ -77,6 +77,15 @@ def store_versions(spark, sf):
     return found
 
 
+def store_vacuum(spark, sf):
+    """What is left by section, once the first version and the files that only it names are gone."""
+    path = _stored(spark, sf)
+    store.vacuum(spark, path, keep=1)
+    (version,) = store.versions(spark, path)
+    rows = store.read(spark, path).groupBy("section").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint").alias("chars"))
+    return rows.withColumn("version", F.lit(version))
+
+
 def cleaned_docs(spark, sf):
     """Documents and their tunes, less what a page builder leaves: license lines stand for its lines, in turn, and first lines for tunes."""
     left = ("Google Sites", "Report abuse", "SKIP to main content", "Skip to navigation", "Embedded Files", " Search this site\t", "DOCS_timing['x']", "window.WIZ_global", "Page built by Google Sites")
@@ -168,7 +177,7 @@ def excerpts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.excerpt(F.col("text")).alias("excerpt"))
 
 
-QUERIES = {f.__name__: f for f in (lexicon_sides, lexicon_side_counts, unknown_suggested, excerpts, collated_listings, scan_retractions, vocab_sketches, search_index, search_index_short, gram_counts, edit_outcomes, edited_docs, names_in_one_folder, store_commit, store_versions, cleaned_docs)}
+QUERIES = {f.__name__: f for f in (lexicon_sides, lexicon_side_counts, unknown_suggested, excerpts, collated_listings, scan_retractions, vocab_sketches, search_index, search_index_short, gram_counts, edit_outcomes, edited_docs, names_in_one_folder, store_commit, store_versions, store_vacuum, cleaned_docs)}
 
 _FOLD = """
     docs AS (SELECT doc_id AS path, md5(coalesce(text, '')) AS sha, text FROM documents),
@@ -230,6 +239,7 @@ SQL = {
         f AS (SELECT section, k, row_number() OVER (PARTITION BY section ORDER BY k) AS r FROM (SELECT section, unnest(range(1, 2 * (SELECT count(*) FROM d) + 10)) AS k FROM (SELECT DISTINCT section FROM x)) ANTI JOIN tk USING (section, k))
         SELECT doc_id, '007-' || section || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.yaml' AS new_name FROM x JOIN f USING (section, r)""",
     "store_commit": f"WITH {_STORE} SELECT doc_id, section, md5(text) AS text_md5 FROM v2",
+    "store_vacuum": f"WITH {_STORE} SELECT 2 AS version, section, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM v2 GROUP BY ALL",
     "store_versions": f"WITH {_STORE}, a AS (SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2) SELECT version, section, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM a GROUP BY ALL",
     "cleaned_docs": rf"""WITH x AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN starts_with(l, 'licensed under ') THEN {_LEFT} ELSE l END), chr(10)) || CASE WHEN doc_id % 4 = 0 THEN chr(10) || ' ' || chr(10) ELSE '' END AS text,
             CASE WHEN doc_id % 5 = 0 THEN {_LEFT} ELSE string_split(text, chr(10))[1] END AS tarz FROM documents),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lekha.plans.shared import written
+from lekha.plans.shared import remove, written
 
 
 def _files(df: DataFrame) -> list[str]:
@@ -91,3 +91,33 @@ def commit(spark: SparkSession, path: str, changes: DataFrame, removed: DataFram
     rest = _read(spark, path, sorted(touched), now.schema).join(ids, "doc_id", "left_anti")
     _write(rest.select(columns).unionByName(changed.select(columns)), path, last + 1, [n for n in names if n not in touched], list(by))
     return last + 1
+
+
+def vacuum(spark: SparkSession, path: str, keep: int | None = None) -> tuple[int, int]:
+    """Drop all versions but the last `keep` (None: none is dropped), and data files that no version names, those of failed commits too; gives the numbers of both.
+
+    It counts as a writer: no commit may run beside it, and readers of a dropped
+    version fail. Manifests go first, so a vacuum that is broken off leaves the kept
+    versions whole and is finished by the next one. The driver holds names of data
+    files, no documents.
+    """
+    if keep is not None and keep < 1:
+        raise ValueError("the last version stays")
+    there = versions(spark, path)
+    old = there[:-keep] if keep else []
+    for v in old:
+        remove(spark, f"{path}/manifests/version={v}")
+    named = spark.read.schema("file string").json(f"{path}/manifests").select("file").distinct()
+    # names only: the content is not read
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path}/data")
+    held = held.select(F.regexp_extract("path", r"/(data/[^/]+/[^/]+)$", 1).alias("file"))
+    loose = [r.file for r in held.join(named, "file", "left_anti").collect()]
+    used = {r.file.split("/")[1] for r in named.collect()}
+    for f in loose:
+        if f.split("/")[1] in used:
+            remove(spark, f"{path}/{f}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    for folder in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root):  # as many as commits
+        if folder.getPath().getName() not in used:
+            remove(spark, folder.getPath().toString())
+    return len(old), len(loose)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lekha.functions import text as t
 from lekha.operators import documents, edits, listings, passages
+from lekha.plans import shared
 from lekha.sources import store
 
 md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
@@ -187,3 +188,35 @@ def test_wordlists_in_collated_order(spark, tmp_path):
 
 def test_excerpts_keep_their_length(spark):
     assert one(spark, " a\n b ", lambda c: t.excerpt(c, 3)) == "a b" and one(spark, "राम राम", lambda c: t.excerpt(c, 4)) == "राम …"[:4] + "…"
+
+
+def test_vacuum_keeps_what_kept_versions_name(spark, tmp_path):
+    path, docs = stored(spark, tmp_path, 50)
+    assert store.vacuum(spark, path) == (0, 0) and store.versions(spark, path) == [1]
+    change = lambda i, x: docs.where(F.col("doc_id") == i).withColumn("text", F.lit(x))
+    store.commit(spark, path, change(3, "new"))
+    store.commit(spark, path, change(40, "newer"))
+    broken = docs.where("doc_id = 5").withColumn("text", F.expr("if(doc_id = 5, raise_error('no'), text)"))
+    with pytest.raises(Exception, match="no"):
+        store.commit(spark, path, broken)
+    loose = next((tmp_path).rglob("data")) / "loose"
+    docs.coalesce(1).write.parquet(str(loose))  # as a commit leaves them that fails before its manifest
+    before, want = set(store.files(spark, path, 1)), {(r.doc_id, r.text) for r in store.read(spark, path).collect()}
+    gone = before - set(store.files(spark, path, 2)) - set(store.files(spark, path, 3))
+    assert store.vacuum(spark, path, keep=2) == (1, len(gone) + 1) and not loose.exists()
+    assert store.versions(spark, path) == [2, 3] and {(r.doc_id, r.text) for r in store.read(spark, path).collect()} == want
+    assert store.read(spark, path, 2).where("text = 'newer'").isEmpty() and store.read(spark, path, 2).count() == 50
+    on_disk = {"data/" + "/".join(p.parts[-2:]) for p in loose.parent.rglob("*.parquet")}
+    assert on_disk == set(store.files(spark, path, 2)) | set(store.files(spark, path, 3))
+    with pytest.raises(ValueError, match="last"):
+        store.vacuum(spark, path, keep=0)
+    assert store.commit(spark, path, change(7, "later")) == 4 and store.vacuum(spark, path, keep=1)[0] == 2
+    assert store.read(spark, path).where("text in ('new', 'newer', 'later')").count() == 3
+
+
+def test_clear_removes_own_tables_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    (tmp_path / "lekha" / "another" / "x").mkdir(parents=True)
+    assert shared.written(spark.range(3), "three").count() == 3
+    assert shared.clear(spark) and [p.name for p in (tmp_path / "lekha").iterdir()] == ["another"]
+    assert not shared.clear(spark)
