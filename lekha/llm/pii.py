@@ -256,7 +256,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
         rows = with_candidates(rows).drop("text")
     rows = rows.select("doc_id", _spans(model).alias("spans"))
     base = F.filter("spans", lambda s: s.base)
-    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    counts = [F.size(F.filter(base, lambda s: s.kind == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(BASE)]
     return rows.select("doc_id", *counts, F.sha2(span_string(base).cast("binary"), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"),
                        F.size(F.filter("spans", lambda s: ~s.base)).cast("bigint").alias("n_added"),
                        F.size(F.filter("spans", lambda s: s.kind == KINDS.index("secret"))).cast("bigint").alias("n_secret"), F.size("spans").cast("bigint").alias("n_spans"))

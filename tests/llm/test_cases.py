@@ -348,6 +348,14 @@ def test_pii_adds_secrets_that_the_labelers_agree_on(spark):
     assert masked[0] == 'some words token = "<SECRET>" and more' and masked[301] is None
 
 
+def test_pii_counts_each_kind_by_itself(spark):
+    email, ip, card, phone = "x@y.org", "10.20.30.40", "4111 1111 1111 1111", "+1 (456) 555-2186"
+    want = {(e, i, c, p): " ; ".join([email] * e + [ip] * i + [card] * c + [phone] * p) for e in range(3) for i in range(3) for c in range(2) for p in range(3)}
+    rows = list(enumerate(want.values()))
+    found = {x.doc_id: (x.n_email, x.n_ip, x.n_card, x.n_phone) for x in pii.find(docs(spark, [*rows, (len(rows), None)])).collect()}
+    assert found == {**dict(enumerate(want)), len(rows): (0, 0, 0, 0)}
+
+
 def test_pii_masks_giant_texts(spark):
     text = ("é word " * 50 + "a@b.co and 10.20.30.40 ") * 400  # spans over many blocks
     want = re.sub(r"10\.20\.30\.40", "<IP>", text.replace("a@b.co", "<EMAIL>"))
