@@ -10,8 +10,10 @@ allows add the one-deletion neighbourhoods. What meets in the index is verified
 on the whole sets.
 
 Equal sets are one class, which its smallest doc_id stands for. In each bucket
-of the index all pairs meet, unless the bucket is hot: then its first document
-meets the others. Pairs of buckets that are not hot must pass a bound on the
+of the index all pairs meet, unless the bucket is hot: then its smallest
+document meets the others. Near copies are the same in most segments: an entry carries the
+one before it, and documents that are the same there too have met there and are
+not paired again. Pairs of buckets that are not hot must pass a bound on the
 difference of two small bitmaps. What the pairs join is a cloud, and within a
 cloud all sets of near sizes are compared, block by block.
 """
@@ -150,25 +152,31 @@ class Bands:
             out.append(b + 1)
         return out
 
-    def entries(self, h: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """The index entries of a sorted set.
+    def entries(self, h: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index entries of a sorted set, in order, and before each another of them, or zero.
+
+        What stands before an entry is that of the last segment with shingles, or the
+        whole segment's before one with a deletion: followed back they all end at a zero.
 
         Common shingles are left out of the segments, which lessens no set's claim:
         the difference of what remains is no larger. A set that loses too many
         segments to this is indexed by its whole segments too.
         """
-        out = []
+        out = [np.zeros(1, np.uint64)]  # whole segments, in order
+        near: list[tuple[np.ndarray, np.ndarray]] = []  # with a deletion, and the whole ones
         for band in self.of(len(h)):
             most = self.most(self.low[band + 1] - 1, self.low[band + 1] - 1)
             rare = h[common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h] if len(common) else h
             for k, part in enumerate((rare, h)):
-                if self._segments(part, band, 2 * band + k, out) > most:
+                if self._segments(part, band, 2 * band + k, out, near) > most:
                     break
             else:
                 out.append(mix(np.array([band], np.uint64) * _C + _A))  # hashed too unevenly: one bucket for all such sets
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+        whole = np.concatenate(out)
+        key, at = np.unique(np.concatenate([whole[1:], *(x for x, _ in near)]), return_index=True)
+        return key, np.concatenate([whole[:-1], *(x for _, x in near)])[at]
 
-    def _segments(self, h: np.ndarray, band: int, salt: int, out: list[np.ndarray]) -> int:
+    def _segments(self, h: np.ndarray, band: int, salt: int, out: list[np.ndarray], near: list[tuple[np.ndarray, np.ndarray]]) -> int:
         """Adds the entries of h's segments; says which differences they are proof against.
 
         A segment with one shingle is of no use against one without any, so it
@@ -185,8 +193,8 @@ class Bands:
         out.append(mix(sums ^ salts))
         if m - len(used) > spare:
             n = np.diff(np.append(first, len(h)))
-            near, salts = np.repeat(sums, n) - spread, np.repeat(salts, n)
-            out.append(mix(near ^ salts)[np.repeat(n, n) > 1])
+            less, some = np.repeat(sums, n) - spread, np.repeat(n, n) > 1
+            near.append((mix(less ^ np.repeat(salts, n))[some], np.repeat(out[-1], n)[some]))
             return 2 * len(used) - int((n == 1).sum())
         return 2 * m
 
@@ -234,9 +242,9 @@ def _digests(words: int, percent: int):
     return run
 
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries: where each key begins once they are sorted, the order, and each sorted entry's key's begin."""
-    order = np.argsort(key, kind="stable")
+def _runs(key: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries: where each key begins once they are sorted (then by other columns), the order, and each sorted entry's key's begin."""
+    order = np.lexsort((*then[::-1], key)) if then else np.argsort(key, kind="stable")
     k = key[order]
     start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     return start, order, np.repeat(start, np.diff(np.append(start, len(k))))
@@ -249,7 +257,7 @@ def _index(words: int, percent: int, buckets: int, common: np.ndarray, rows: int
     alone is passed on, marked so, and the others are paired with it. So what a
     bucket gets of a key is a small part of the documents that have it. Entries
     are packed: the documents' ids, then an index into them (2 bytes, the highest
-    bit is the mark) and 40 bits of the key each.
+    bit is the mark), 40 bits of the key and 40 of the entry before it each.
     """
 
     def run(batches):
@@ -257,23 +265,23 @@ def _index(words: int, percent: int, buckets: int, common: np.ndarray, rows: int
         for batch in _parts(batches, rows):
             ids = batch.column("doc_id").to_numpy()
             found = [bands.entries(h, common) for h in shingles(*text_bytes(batch.column("text")), words)]
-            key = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            key, before = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.uint64) for k in (0, 1))
             if not len(key):
                 continue
             start, order, head = _runs(key)
-            doc = np.repeat(np.arange(len(ids)), [len(x) for x in found])[order]
+            doc = np.repeat(np.arange(len(ids)), [len(x) for x, _ in found])[order]
             n = np.diff(np.append(start, len(key)))
             hot = np.repeat(n >= HOT_HERE, n)
             pairs = np.unique(np.stack([doc[head], doc], axis=1)[hot & (head != np.arange(len(doc)))], axis=0)
             keep = ~hot | (head == np.arange(len(doc)))
-            keys, doc, hot = key[order][keep], doc[keep], hot[keep]
+            keys, before, doc, hot = key[order][keep], before[order][keep], doc[keep], hot[keep]
             bucket = (keys % U64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]]))
             blobs = []
             for i, j in zip(cut, np.append(cut[1:], len(by)), strict=True):
                 used, at = np.unique(doc[by[i:j]], return_inverse=True)
-                low = (keys[by[i:j]] // U64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                low = np.concatenate([keys[by[i:j]] // U64(buckets), before[by[i:j]]]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 blobs.append(np.uint16(len(used)).tobytes() + ids[used].astype("<i8").tobytes() + (at + (hot[by[i:j]] << 15)).astype("<u2").tobytes() + low.tobytes())
             m = len(pairs)
             yield pa.RecordBatch.from_arrays([
@@ -285,32 +293,44 @@ def _index(words: int, percent: int, buckets: int, common: np.ndarray, rows: int
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """The pairs of one bucket: of a cold key all pairs, of a hot one (more than HOT documents, or marked) its first document and the others."""
+    """The pairs of one bucket: of a cold key all pairs, of a hot one (more than HOT documents, or marked) its smallest document and the others.
+
+    A cold pair with the same entry before meets there, so it is left out here. Of
+    a hot key's documents with the same entry before, if these are more than HOT,
+    one alone is paired: that entry is hot too, which joins them.
+    """
     given = table.filter(pc.is_null(table.column("entries")))
-    keys, docs, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    keys, befores, docs, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for blob in table.column("entries").drop_null().to_pylist():
         n = int(np.frombuffer(blob, "<u2", 1)[0])
         ids = np.frombuffer(blob, "<i8", n, 2)
-        m = (len(blob) - 2 - 8 * n) // 7
+        m = (len(blob) - 2 - 8 * n) // 12
         at = np.frombuffer(blob, "<u2", m, 2 + 8 * n)
-        low = np.zeros((m, 8), np.uint8)
-        low[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, 2 + 8 * n + 2 * m).reshape(m, 5)
-        keys.append(low.view("<u8").ravel().astype(np.uint64))
+        low = np.zeros((2 * m, 8), np.uint8)
+        low[:, :5] = np.frombuffer(blob, np.uint8, 10 * m, 2 + 8 * n + 2 * m).reshape(2 * m, 5)
+        low = low.view("<u8").ravel().astype(np.uint64)
+        keys.append(low[:m])
+        befores.append(low[m:])
         docs.append(ids[at & 0x7FFF])
         marks.append(at >= 1 << 15)
-    key, doc, mark = np.concatenate(keys), np.concatenate(docs), np.concatenate(marks)
+    key, before, doc, mark = np.concatenate(keys), np.concatenate(befores), np.concatenate(docs), np.concatenate(marks)
     cold, hot = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
     if len(key):
-        start, order, head = _runs(key)
-        doc, n = doc[order], np.diff(np.append(start, len(key)))
+        start, order, head = _runs(key, before, doc)
+        doc, before, n = doc[order], before[order], np.diff(np.append(start, len(key)))
         is_hot = (n > HOT) | np.logical_or.reduceat(mark[order], start)
         every, among = np.arange(len(doc)), np.repeat(is_hot, n)
-        hot.append(np.stack([doc[head], doc], axis=1)[among & (head != every)])
+        alike = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (before[1:] != before[:-1])]))
+        k = np.diff(np.append(alike, len(doc)))
+        joined = (np.repeat(k, k) > HOT) & (before > 0) & (every != np.repeat(alike, k))
+        least = np.repeat(np.minimum.reduceat(doc, start), n)
+        hot.append(np.stack([least, doc], axis=1)[among & (least != doc) & ~joined])
         left = np.repeat(start + n, n)
         for step in range(1, HOT):  # each with the one that stands step places on
             i = np.flatnonzero(~among & (every + step < left))
             if not len(i):
                 break
+            i = i[(before[i] == 0) | (before[i] != before[i + step])]
             cold.append(np.stack([doc[i], doc[i + step]], axis=1))
     cold, hot = (np.unique(np.sort(np.concatenate(x), axis=1), axis=0) for x in (cold, hot))
     hot = np.concatenate([hot, np.stack([given.column(c).to_numpy() for c in ("u", "v")], axis=1)])

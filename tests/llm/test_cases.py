@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,59 @@ def test_ngram_join_repeated_ids_and_a_cloud(spark):
     assert all(links.values()) and sorted(got) == sorted(want)
 
 
+def met_rows(rows, words, percent, buckets, step):
+    """What the buckets of the index make of rows (doc_id, text): (u, v, hot), and the sets."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    made = pa.Table.from_batches(ngram_join._index(words, percent, buckets, np.zeros(0, np.uint64), step)([batch])).combine_chunks()
+    parts = [ngram_join._meet(made.filter(pc.equal(made["bucket"], b))) for b in range(buckets)]
+    sets = ngram_join.shingles(*text_bytes(batch.column("text")), words)
+    return [tuple(x.values()) for p in parts for x in p.to_pylist()], {i: frozenset(h.tolist()) for (i, _), h in zip(rows, sets, strict=True)}
+
+
+def test_ngram_pairs_are_made_once_not_in_each_bucket():
+    r = random.Random(11)
+    rows = []
+    for i in range(300):  # of two near copies each, one word differs
+        a = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join([*a[:150], "x", *a[151:]]))]
+    for buckets in (1, 5, 60):
+        met, _ = met_rows(rows, 3, 90, buckets, 100)
+        assert {(u, v) for u, v, _ in met} == {(2 * i, 2 * i + 1) for i in range(300)} and len(met) <= 7 * 300  # six shingles differ
+    crowd = [(i, " ".join([*a[:150], f"x{i}", *a[151:]])) for i in range(400)]
+    for step in (10, 500):  # keys that are hot in their bucket alone, and in the step
+        assert len(met_rows(crowd, 3, 90, 60, step)[0]) <= 5 * 400
+
+
+@pytest.mark.parametrize(("words", "percent", "hot", "here"), [(3, 90, 24, 12), (3, 90, 3, 12), (1, 60, 3, 2), (2, 75, 2, 50), (1, 80, 4, 3)])
+def test_ngram_index_loses_no_link(words, percent, hot, here, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "HOT_HERE", here)
+    r = random.Random(words * percent + hot)
+    rows = []
+    for _ in range(60):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.choice([6, 15, 40, 120]))]
+        for _ in range(r.choice([1, 2, 9, 30])):
+            copy = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 5])):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(40)}"
+            rows.append((len(rows), " ".join(copy[r.choice([0, 0, 1]) :])))
+    met, sets = met_rows(rows, words, percent, 7, 50)
+    linked = lambda u, v: 100 * len(sets[u] & sets[v]) >= percent * len(sets[u] | sets[v])
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    first = {}  # equal sets are one class without the index
+    for u, v, always in [*((first.setdefault(x, i), i, True) for i, x in sets.items()), *met]:
+        if always or linked(u, v):
+            root[find(u)] = find(v)
+    lost = [(u, v) for u in range(len(rows)) for v in range(u) if linked(u, v) and find(u) != find(v)]
+    assert not lost and any(linked(u, v) for u in range(len(rows)) for v in range(u))
+
+
 def test_ngram_join_long_text(spark):
     words = [f"w{i}" for i in range(400_000)]  # 2.8 MB
     near = [*words[:-2000], *(f"y{i}" for i in range(2000))]
