@@ -211,12 +211,14 @@ def test_ngram_join_repeated_ids_and_a_cloud(spark):
     assert all(links.values()) and sorted(got) == sorted(want)
 
 
-def met_rows(rows, words, percent, buckets, step):
-    """What the buckets of the index make of rows (doc_id, text): (u, v, hot), and the sets."""
+def met_rows(rows, words, percent, buckets, step, part=0.0):
+    """What the buckets of the index make of rows (doc_id, text), with a part of all shingles taken as common: (u, v, hot), and the sets."""
     batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
-    made = pa.Table.from_batches(ngram_join._index(words, percent, buckets, np.zeros(0, np.uint64), step)([batch])).combine_chunks()
-    parts = [ngram_join._meet(made.filter(pc.equal(made["bucket"], b))) for b in range(buckets)]
     sets = ngram_join.shingles(*text_bytes(batch.column("text")), words)
+    every = np.unique(np.concatenate(sets))
+    common = every[ngram_join.mix(every) < np.uint64(part * 2**63) * np.uint64(2)] if part < 1 else every
+    made = pa.Table.from_batches(ngram_join._index(words, percent, buckets, common, step)([batch])).combine_chunks()
+    parts = [ngram_join._meet(made.filter(pc.equal(made["bucket"], b))) for b in range(buckets)]
     return [tuple(x.values()) for p in parts for x in p.to_pylist()], {i: frozenset(h.tolist()) for (i, _), h in zip(rows, sets, strict=True)}
 
 
@@ -234,8 +236,9 @@ def test_ngram_pairs_are_made_once_not_in_each_bucket():
         assert len(met_rows(crowd, 3, 90, 60, step)[0]) <= 5 * 400
 
 
+@pytest.mark.parametrize("part", [0.0, 0.1, 0.7, 1.0])  # whichever shingles a sample shows as common
 @pytest.mark.parametrize(("words", "percent", "hot", "here"), [(3, 90, 24, 12), (3, 90, 3, 12), (1, 60, 3, 2), (2, 75, 2, 50), (1, 80, 4, 3)])
-def test_ngram_index_loses_no_link(words, percent, hot, here, monkeypatch):
+def test_ngram_index_loses_no_link(words, percent, hot, here, part, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "HOT_HERE", here)
     r = random.Random(words * percent + hot)
@@ -247,7 +250,7 @@ def test_ngram_index_loses_no_link(words, percent, hot, here, monkeypatch):
             for _ in range(r.choice([0, 1, 1, 2, 5])):
                 copy[r.randrange(len(copy))] = f"x{r.randrange(40)}"
             rows.append((len(rows), " ".join(copy[r.choice([0, 0, 1]) :])))
-    met, sets = met_rows(rows, words, percent, 7, 50)
+    met, sets = met_rows(rows, words, percent, 7, 50, part)
     linked = lambda u, v: 100 * len(sets[u] & sets[v]) >= percent * len(sets[u] | sets[v])
     root = list(range(len(rows)))
 
