@@ -58,6 +58,16 @@ def test_near_words_equal_brute_force(spark, most, longest, monkeypatch):
     assert got == {(a, b, d) for a in words for b in words if a != b and (d := distance(a, b)) <= most}
 
 
+@pytest.mark.parametrize("most", [2, 3])
+def test_near_words_are_never_broadcast(spark, most, capsys, tmp_path):
+    """Strings of a small file's words are taken for small whatever they grow to, so a join must not choose by that."""
+    spark.createDataFrame([("abcde",), ("abcdf",), ("xyz",)], "word string").write.parquet(f"{tmp_path}/words")
+    df = spark.read.parquet(f"{tmp_path}/words")
+    near_words(df, df, most).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(None, 3), (7, 7)]
