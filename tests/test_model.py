@@ -290,3 +290,16 @@ def test_rest_works_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; n = e.queries(); assert 'op1_warc' not in n and 'pipeline' not in n and len(n) > 90 and set(e.oracle_sql()) <= set(n)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=120)
     assert not re.search(r"localCheckpoint\(", "".join(p.read_text() for p in (tmp_path / "r" / "lekha").rglob("*.py")))
+
+
+def test_long_texts_with_many_hits_are_rewritten_by_a_table(spark, capsys):
+    """A look into a map reads it from its start, so each word of a text met each of its hits."""
+    letters = "abcdefghij"
+    words = ["x" + "".join(letters[int(d)] for d in str(i)) for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(words) + " X1xa-xb"), (2, None), (3, "none")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(w, f"{w}!") for w in words[:-1]] + [(words[-1], None)], "word string, canonical string")
+    out = w.replaced_words(docs, pairs, "ascii")
+    (row,) = out.collect()
+    assert row.n_replaced == 20_001 and row.text == " ".join(f"{x}!" for x in words[:-1]) + f" {words[-1]} X1xa!-xb!"
+    out.explain()
+    assert "hits#" not in "".join(x for x in capsys.readouterr().out.splitlines() if "lambda" in x)
