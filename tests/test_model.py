@@ -303,3 +303,21 @@ def test_long_texts_with_many_hits_are_rewritten_by_a_table(spark, capsys):
     assert row.n_replaced == 20_001 and row.text == " ".join(f"{x}!" for x in words[:-1]) + f" {words[-1]} X1xa!-xb!"
     out.explain()
     assert "hits#" not in "".join(x for x in capsys.readouterr().out.splitlines() if "lambda" in x)
+
+
+def test_search_deals_out_ids_when_grams_are_many(spark, capsys, monkeypatch):
+    """Grams that are joined by a shuffle don't carry their lines; what is found is the same."""
+    docs = spark.createDataFrame([(1, "one abcd line\nabcd two words"), (2, "two words abcd"), (None, "words of none, two"), (3, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "abcd words"), (2, "two"), (3, "zzz"), (4, "")], "query_id long, query string")
+    few = sorted(map(str, documents.search(docs, queries).collect()))
+    assert len(few) == 5
+    monkeypatch.setattr(documents, "FEW_PROBES", 0, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = documents.search(docs, queries)
+        assert sorted(map(str, out.collect())) == few
+        capsys.readouterr()
+        out.explain()
+        assert not re.search(r"Generate explode.*\bline#\d+\], false, \[gram", capsys.readouterr().out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
