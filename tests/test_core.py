@@ -58,6 +58,21 @@ def test_near_words_equal_brute_force(spark, most, longest, monkeypatch):
     assert got == {(a, b, d) for a in words for b in words if a != b and (d := distance(a, b)) <= most}
 
 
+@pytest.mark.parametrize("most", [1, 3, 5])
+def test_segments_lose_no_pair_and_meet_few(spark, most, monkeypatch):
+    met = {}
+    monkeypatch.setattr(fuzzy, "_meeting", lambda a, b, on: met.setdefault("rows", a).join(b, on))
+    r = random.Random(most)
+    words = {"".join(r.choice("abc") for _ in range(r.randint(1, 11))) for _ in range(60)}
+    words = sorted(words | {w[:i] + r.choice(["", "a", "bc"]) + w[i + r.randint(0, 1) :] for w in words for i in (r.randint(0, len(w)),)} - {""})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(x.a, x.b, x.distance) for x in fuzzy._by_segments(df, df, most).collect()}
+    assert got == {(a, b, d) for a in words for b in words if a != b and (d := distance(a, b)) <= most}
+    # for a difference of lengths x, (most * most - x * x) / 2 + most + 1 places at most
+    bounds = {w: sum((most * most - x * x) // 2 + most + 1 for x in range(-most, most + 1)) for w in words}
+    assert all(x["count"] <= bounds[x.a] for x in met["rows"].groupBy("a").count().collect())
+
+
 @pytest.mark.parametrize("most", [2, 3])
 def test_near_words_are_never_broadcast(spark, most, capsys, tmp_path):
     """Strings of a small file's words are taken for small whatever they grow to, so a join must not choose by that."""
